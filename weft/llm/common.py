@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: str | None = None
-
+from weft.sources.storage import settle, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["pick", "settle", "shared_dir", "table"]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The first column of exactly each name; extra columns, also clashing ones, go."""
     flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return flat.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset."""
-    global _own_dir
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="weft-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and any executor can reread it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
