@@ -42,14 +42,19 @@ def diffusion(p: DataFrame, k: int = 4, r: float = 0.5) -> DataFrame:
 
 def ppr(p: DataFrame, alpha: float = 0.15, most: int = 30, tolerance: float = 1e-5, floor: float = 1e-4) -> DataFrame:
     """alpha times the sum of (1 - alpha)^n P^n; ends after a term whose entries are all below tolerance; no diagonal, and no entry under floor."""
-    power, total = p, None
-    for n in range(1, most):  # the term n = 0 lies on the diagonal
-        term = scaled(power, alpha * (1 - alpha) ** n)
-        total = settle(term if total is None else added([total, term]), "ppr")
-        if (top := term.agg(F.max("v")).first()[0]) is None or top < tolerance or n == most - 1:
+    first = alpha * (1 - alpha)  # the term n = 0 lies on the diagonal
+    now = settle(p.select("i", "j", F.col("v").alias("power"), (F.col("v") * first).alias("total")), "ppr")
+    right = p.select(F.col("i").alias("k"), F.col("j").alias("l"), "v")
+    for n in range(2, most):
+        # one shuffle and one write a term: the next power's products meet the sums so far
+        c = alpha * (1 - alpha) ** n
+        step = now.join(right, now["j"] == right["k"]).select("i", F.col("l").alias("j"), (F.col("power") * F.col("v")).alias("power"), F.lit(0.0).alias("total"))
+        both = step.unionAll(now.select("i", "j", F.lit(0.0).alias("power"), "total")).groupBy("i", "j")
+        now = settle(both.agg(F.sum("power").alias("power"), (F.sum("total") + F.sum("power") * c).alias("total")), "ppr")
+        top = now.agg(F.max("power")).first()[0]
+        if top is None or top * c < tolerance:
             break
-        power = settle(matmul(power, p), "power")
-    return total.where((F.col("i") != F.col("j")) & (F.col("v") >= floor))
+    return now.where((F.col("i") != F.col("j")) & (F.col("total") >= floor) & (F.col("total") > 0)).select("i", "j", F.col("total").alias("v"))
 
 
 def ppr_terms(p: DataFrame, terms: int, alpha: float = 0.15) -> DataFrame:
