@@ -1,0 +1,292 @@
+"""Every query on tables of special cases, against plain versions."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+
+from weft.llm import dedup, language, media, packing, pii, secrets, simhash, warc
+from weft.llm.queries import ORACLE_SQL, QUERIES
+
+NAMES = {n.split("_")[0]: n for n in QUERIES}
+
+
+def result(spark, name, path):
+    return QUERIES[NAMES[name]](spark, path).collect()
+
+
+def by_doc(spark, name, path, rows):
+    """(text, source, row) in pairs: repeated doc_ids have equal results here."""
+    out = defaultdict(list)
+    for r in result(spark, name, path):
+        out[r["doc_id"]].append(r)
+    assert Counter({k: len(v) for k, v in out.items()}) == Counter(r[0] for r in rows)
+    return [(text, source, out[i][0]) for i, text, _, source, _ in rows]
+
+
+@pytest.mark.parametrize("name", [*NAMES])
+def test_empty_tables(spark, empty, name):
+    assert result(spark, name, empty) == []
+
+
+def test_secrets(spark, folder, rows):
+    for text, _, r in by_doc(spark, "op1", folder, rows):
+        spans = brute.secrets(text)
+        assert r["base_sha256"] == brute.digest(spans)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in secrets.BASE_KINDS] == spans
+    found = {r["doc_id"]: r for r in result(spark, "op1", folder)}
+    assert "forge" in found[8]["spans"] and found[8]["most_owners"] == 2
+
+
+def test_widely_copied_values_are_not_live(spark):
+    docs = spark.createDataFrame([(i, "token = 9f8e7d6c5b4a39281706f5e4d3c2b1a0ff", "en", f"s{i}", 1) for i in range(5)] + [(9, "token = 0f1e2d3c4b5a69788796a5b4c3d2e1f000", "en", "s0", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    assert len(out) == 6 and "9f8e" in out[3] and out[9] == "<secret>"
+
+
+def test_warc(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL[NAMES["op2"]]).df()
+    got = QUERIES[NAMES["op2"]](spark, folder).toPandas()[list(want.columns)]
+    order = list(want.columns)
+    pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True), check_dtype=False)
+    texts = {(r.page_id if r.page_id == r.page_id else None): r.block for r in got.itertuples() if r.record_type == "conversion"}
+    assert texts[1] == "T & t\nab\n<d> e" and texts[2] == "" and texts[None] == ""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    source = {r["record_id"] for r in warc.responses(pages).collect()}
+    for r in warc.serialized(warc.derivatives(warc.responses(pages))).collect():
+        head, _, body = bytes(r["warc"]).partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert fields["WARC-Refers-To"] in source and body[: int(fields["Content-Length"])].decode() == r["block"] and body.endswith(b"\r\n\r\n")
+
+
+def test_packing(spark, folder, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: np.array([*own.encode(text or "", add_special_tokens=False).ids, 1], "<u4") for i, text, *_ in rows}
+    copies = Counter(r[0] for r in rows)
+    places, sequences = defaultdict(list), defaultdict(list)
+    for r in result(spark, "op3", folder):
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (len(part), zlib.crc32(part.tobytes()), len(ids[r["doc_id"]])) == (r["length"], r["ids_crc32"], r["doc_tokens"])
+        places[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, found in places.items():
+        once = Counter(found)
+        assert set(once.values()) == {copies[i]}
+        starts = sorted(once)
+        assert [s for s, _ in starts] == [0, *np.cumsum([n for _, n in starts])[:-1]] and sum(n for _, n in starts) == len(ids[i])
+    padding = 0
+    for found in sequences.values():
+        found.sort()
+        assert [o for o, _ in found] == [0, *np.cumsum([n for _, n in found])[:-1]]
+        n = sum(n for _, n in found)
+        assert n <= 2048
+        padding += 0 if n & (n - 1) == 0 else 2048 - n
+    assert set(sequences) == set(range(len(sequences)))
+    assert padding < 0.02 * sum(n for f in sequences.values() for _, n in f) + 2048
+
+
+def test_pieces():
+    for n in (1, 2, 2047, 2048, 2049, 5000):
+        out = packing.pieces(n)
+        assert sum(out) == n and all(q in packing.class_lengths(2048) for q in out) and len(out) <= n // 2048 + 4
+    plan = packing.leftover_plan({1024: 1, 682: 2, 1: 5})
+    assert len(plan) == 8 and max(p[2] for p in plan) == 1
+
+
+def test_pii(spark, folder, rows):
+    for text, _, r in by_doc(spark, "op4", folder, rows):
+        spans = brute.pii(text)
+        assert r["base_sha256"] == brute.digest(spans)
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s.startswith(k) for s in spans) for k in pii.BASE_KINDS]
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in pii.BASE_KINDS] == spans
+
+
+def test_reliabilities_find_the_better_labeler():
+    votes = [("email", (1, 1, 1, 0, 1), 80), ("email", (1, -1, 0, -1, -1), 15), ("email", (-1, -1, 0, 0, -1), 60), ("email", (1, 1, 0, 0, -1), 10)]
+    rate, post = pii.reliabilities(votes)
+    assert post[0] > 0.9 and post[2] < 0.1 and rate[1, 1][1] > rate[1, 0][1]
+    weights = pii.train(votes, post)
+    assert weights["gazetteer", 1] > weights["gazetteer", -1]
+
+
+def test_simhash(spark, folder, rows):
+    import hashlib
+
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    edited = defaultdict(list)
+    for k, (i, text, *_) in enumerate(ordered):
+        text, after = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        half = len(text) // 2
+        edited[i].append(hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest())
+    out = defaultdict(list)
+    for r in result(spark, "op5", folder):
+        out[r["doc_id"]].append(r)
+    prints = {}
+    for i, text, *_ in rows:
+        assert sorted(r["edited_sha256"] for r in out[i]) == sorted(edited[i])
+        for r in out[i]:
+            assert r["n_chars"] == len(text or "") and 0 <= r["near_next"] <= 1
+            assert prints.setdefault(text or "", r["fingerprint"]) == r["fingerprint"]
+    assert out[15][0]["near_next"] == 1.0  # its next document is its copy
+
+
+def test_near_links_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    seeds = [int(x) for x in rng.integers(0, 1 << 62, 30)]
+    prints = {(s, s >> 1) for s in seeds}
+    for s in seeds:
+        for _ in range(6):
+            a, b = s, s >> 1
+            for bit in rng.integers(0, 126, rng.integers(1, 5)):
+                a, b = (a ^ (1 << int(bit)), b) if bit < 63 else (a, b ^ (1 << int(bit - 63)))
+            prints.add((a, b))
+    want = {(x, y) for x in prints for y in prints if x < y and (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count() <= 3}
+    found = simhash.near_links(spark.createDataFrame(sorted(prints), "hi long, lo long")).collect()
+    assert sorted(((r["a_hi"], r["a_lo"]), (r["b_hi"], r["b_lo"])) for r in found) == sorted(want) and len(want) > 50
+
+
+def test_simhash_votes(spark):
+    """The packed sums give the same bits as sums bit by bit."""
+    text = " ".join(f"w{i % 700}" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    hashes = [r[0] for r in df.select(simhash.terms(df["text"]).alias("t")).selectExpr("explode(t)").collect()]
+    again = [r[0] for r in spark.createDataFrame([(h,) for h in hashes], "h long").selectExpr("xxhash64(h, 1)").collect()]
+    got = simhash.fingerprints(df, ["id"], {"fp": "text"}).first()
+    for name, values in (("fp_hi", hashes), ("fp_lo", again)):
+        want = sum(1 << b for b in range(63) if 2 * sum((v >> b) & 1 for v in values) > len(values))
+        assert got[name] == want
+    assert got["n_fp"] == 2996
+
+
+def test_language(spark, folder, rows):
+    for text, _, r in by_doc(spark, "op6", folder, rows):
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert (r["lang_pred"] == "und") == (text is None or not any(map(str.isalpha, text))) and 0 <= r["score"] <= 1
+
+
+def test_language_mixture_finds_both():
+    words = {"aa": "kala mato sipi lanu", "bb": "brek stolz gwynt drosk"}
+    langs = sorted(words)
+    table = np.full((language.BUCKETS, 2), 0.1)
+    for i, lang in enumerate(langs):
+        np.add.at(table[:, i], language.grams(words[lang] * 50), 1)
+    logp = np.log(table / table.sum(0))
+    alone = language.infer("kala mato lanu sipi mato", langs, logp)
+    assert [x for x, _ in alone] == ["aa"]
+    both = language.infer(" ".join([words["aa"]] * 3 + [words["bb"]]), langs, logp)
+    assert [x for x, _ in both] == ["aa", "bb"] and both[0][1] > 0.6
+    assert language.infer("123 ...", langs, logp) == []
+
+
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = [r for r in result(spark, "op6", sf) if r["held_out"]]
+    assert np.mean([docs[r["doc_id"]] == r["lang_pred"] for r in out]) > 0.95
+
+
+def test_media(spark, folder, rows):
+    for text, _, r in by_doc(spark, "op7", folder, rows):
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == brute.payload(text)
+
+
+@pytest.mark.parametrize("kind", media.STORED)
+def test_store_and_sniff(kind):
+    payload = bytes(range(256)) * 9
+    data = media.store(payload, kind)
+    assert media.load(data, kind) == payload
+    assert media.sniff(data)[0] == (kind, 0, len(data))
+    assert media.sniff(b"junk RIFF BM" + data + b"tail P5")[0] == (kind, 12, len(data))
+    assert media.sniff(data[:-3]) == []  # cut short
+
+
+def test_sniff_other_formats():
+    import gzip
+    import io
+    import zipfile
+
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "hello")
+    g = gzip.compress(b"x" * 100)
+    gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+    found = media.sniff(b"??" + z.getvalue() + g + gif)
+    assert found == [("zip", 2, len(z.getvalue())), ("gzip", 2 + len(z.getvalue()), len(g)), ("gif", 2 + len(z.getvalue()) + len(g), len(gif))]
+    assert media.sniff(None) == [] and media.sniff(b"GIF8 BM RIFF %PDF- PK\x03\x04 \xff\xd8\xff\xe0") == []
+
+
+def test_carved(spark):
+    data = media.store(b"a" * 576, "wav")
+    df = spark.createDataFrame([(1, bytearray(b"xx" + data)), (2, None)], "doc_id long, media binary")
+    out = media.carved(df).collect()
+    assert [(r["doc_id"], r["kind"], r["offset"], bytes(r["carved"])) for r in out] == [(1, "wav", 2, data)]
+
+
+def test_mixing(spark, folder, rows):
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += brute.size(text)
+    goal, taken = brute.targets(sizes), Counter()
+    out = defaultdict(list)
+    for r in result(spark, "op8", folder):
+        out[r["doc_id"]].append(r)
+    for i, text, _, source, _ in rows:
+        r = out[i].pop()
+        assert r["size"] == brute.size(text) and r["source_size"] == sizes[source] and r["taken"] <= 2 * r["size"]
+        assert r["target"] == pytest.approx(goal[source])
+        taken[source] += r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+    again = sorted((r["doc_id"], r["taken"]) for r in result(spark, "op8", folder))
+    assert again == sorted((r["doc_id"], r["taken"]) for r in result(spark, "op8", folder))
+
+
+def test_licenses(spark, folder, rows):
+    for text, _, r in by_doc(spark, "op9", folder, rows):
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute.licenses(text)
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+    assert {r["doc_id"]: r["labels"] for r in result(spark, "op9", folder)}[14] == "mit-text"
+
+
+def test_near_classes(spark, folder, rows):
+    roots = brute.near_classes([r[1] for r in rows])
+    least = defaultdict(lambda: 10**9)
+    for root, r in zip(roots, rows, strict=True):
+        least[root] = min(least[root], r[0])
+    want = {r[0]: least[root] for root, r in zip(roots, rows, strict=True)}
+    out = result(spark, "op10", folder)
+    assert {r["doc_id"]: r["class_id"] for r in out} == want and len(out) == len(rows)
+    assert Counter(r["class_id"] for r in out if r["is_first"]).keys() == set(want.values())
+
+
+def test_chain_of_copies_is_one_class(spark):
+    """Each text is near the next one only, and equal keys of a band meet in several classes."""
+    texts = [brute.prose(77, 300)]
+    for i in range(12):
+        words = texts[-1].split()
+        words[i * 24 : i * 24 + 5] = [f"q{i}{j}" for j in range(5)]
+        texts.append(" ".join(words))
+    texts += [brute.edit(texts[0], 60, i) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute.near_classes(texts)
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    for share in (0, 300, 600, 900):
+        a, b = pool[:900], np.concatenate([pool[:share], rng.integers(0, 1 << 63, 900 - share).astype(np.uint64)])
+        s = dedup.signatures(np.concatenate([a, b]), np.repeat([0, 1], 900), 2, 1000)
+        assert abs((s[0] == s[1]).mean() - share / (1800 - share)) < 0.06
+    one = dedup.signatures(pool[:1], np.array([0]), 1)
+    assert (one != 0).all()
