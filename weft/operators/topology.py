@@ -321,10 +321,10 @@ def filtration_values(g: np.ndarray, n: int, labels: list, mode: str, alpha: flo
     return per_node[g].mean(1)
 
 
-def phs_vectors(nodes: DataFrame, edges: DataFrame, *, modes: tuple[str, ...] = ("ricci",), steps: int = 10, k0: int = 5, k1: int = 5, betti: bool = True, betti_only: bool = False, weighting: str = "none", embedding: np.ndarray | None = None, alpha: float = 0.5) -> DataFrame:
+def phs_vectors(nodes: DataFrame, edges: DataFrame, *, modes: tuple[str, ...] = ("ricci",), steps: int = 10, k0: int = 5, k1: int = 5, betti: bool = True, betti_only: bool = False, weighting: str = "none", embedding: np.ndarray | None = None, alpha: float = 0.5, pad: float = 0.01) -> DataFrame:
     """graph_id, vector: one filtration after another, step by step: spectra of L0, of L1, Betti numbers.
 
-    weighting: none, label_index, or cooccurrence with an embedding of the labels.
+    weighting: none, label_index, or cooccurrence with an embedding of the labels. pad: of a degenerate range of curvature.
     """
 
     def weights(g: np.ndarray, labels: list) -> tuple[np.ndarray | None, np.ndarray | None]:
@@ -347,7 +347,7 @@ def phs_vectors(nodes: DataFrame, edges: DataFrame, *, modes: tuple[str, ...] =
                 for mode in modes:
                     node_w, edge_w = weights(g, r.labels) if mode == "ricci" else (None, None)
                     values = filtration_values(g, n, r.labels, mode, alpha) if len(g) else np.zeros(0)
-                    parts.append(phs(n, g, values, steps, k0, k1, 0.01 if mode == "ricci" else 0.1, betti, betti_only, node_w, edge_w).ravel())
+                    parts.append(phs(n, g, values, steps, k0, k1, pad if mode == "ricci" else 0.1, betti, betti_only, node_w, edge_w).ravel())
                 rows.append((r.graph_id, np.concatenate(parts)))
             yield pd.DataFrame(rows, columns=["graph_id", "vector"])
 

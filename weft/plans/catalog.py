@@ -207,6 +207,12 @@ def _spread_sql(name: str, start: str, steps: int, alpha: float) -> str:
     )
 
 
+@query("SELECT node, class AS dim, round(acos(greatest(-1 + 1e-7, least(1 - 1e-7, 2 * CASE WHEN t > 0 THEN val / t ELSE val END - 1))), 6) AS val FROM (SELECT *, sum(val) OVER (PARTITION BY node) t FROM s3)", SPREAD_CTE)
+def label_angles(s, d):
+    n = fx.gnodes(s, d)
+    return sc.soft_angles(spreading.propagate(_edges(s, d), n, _classes(n), 0.1, 3))
+
+
 CS_CTE = (
     NODE_CTE
     + """, sc AS (SELECT node, dim AS class, val FROM f WHERE dim < 10),
@@ -239,17 +245,30 @@ def homophily(s, d):
     return sparse.homophily(_edges(s, d), fx.gnodes(s, d))
 
 
-WAVE_CTE = NODE_CTE + ", phi AS MATERIALIZED (SELECT node, dim, cos(val) val FROM f WHERE dim < 8), df AS (SELECT a.dim, a.val - b.val x FROM ge JOIN phi a ON a.node = src JOIN phi b ON b.node = dst AND b.dim = a.dim)"
+WAVE_CTE = NODE_CTE + ", phi AS MATERIALIZED (SELECT node, dim, cos(val) val FROM f), df AS (SELECT a.dim, a.val - b.val x FROM ge JOIN phi a ON a.node = src JOIN phi b ON b.node = dst AND b.dim = a.dim)"
 
 
 @query("SELECT dim, round(greatest(0, least(1, (SELECT sum(x * x) / 2 FROM df WHERE df.dim = q.dim) / sum(val * val) / (SELECT max(d) FROM deg))), 6) AS smoothness FROM phi q GROUP BY dim", WAVE_CTE)
 def smoothness(s, d):
-    return sparse.smoothness(_f(s, d).where("dim < 8").withColumn("val", F.cos("val")), _edges(s, d))
+    return sparse.smoothness(_f(s, d).withColumn("val", F.cos("val")), _edges(s, d))
 
 
 @query("SELECT dim, round(avg(abs(x)) / 2, 6) AS consistency FROM df GROUP BY dim", WAVE_CTE)
 def neighbour_consistency(s, d):
-    return sparse.neighbour_consistency(_f(s, d).where("dim < 8").withColumn("val", F.cos("val")), _edges(s, d))
+    return sparse.neighbour_consistency(_f(s, d).withColumn("val", F.cos("val")), _edges(s, d))
+
+
+@query(
+    """SELECT dim, round(0.5 - 0.1 * (2 * h - 1) * s + 0.2 * (h * (1 - c) + (1 - h) * c), 6) AS score FROM
+    (SELECT dim, greatest(0, least(1, (SELECT sum(x * x) / 2 FROM df WHERE df.dim = q.dim) / sum(val * val) / (SELECT max(d) FROM deg))) s FROM phi q GROUP BY dim) JOIN (SELECT dim, avg(abs(x)) / 2 c FROM df GROUP BY dim) USING (dim)
+    CROSS JOIN (SELECT coalesce(avg((a.y = b.y)::INT::DOUBLE), 0.5) h FROM ge JOIN gn a ON a.node = src JOIN gn b ON b.node = dst WHERE a.split = 'train' AND b.split = 'train')""",
+    WAVE_CTE,
+)
+def guided_scores(s, d):
+    e, n, phi = _edges(s, d), fx.gnodes(s, d), _f(s, d).withColumn("val", F.cos("val"))
+    h = sparse.homophily(e, n).first()[0]
+    both = sparse.smoothness(phi, e).join(sparse.neighbour_consistency(phi, e), "dim")
+    return both.select("dim", sparse.guided(F.lit(0.5), F.col("smoothness"), F.col("consistency"), h, 0.1, 0.2).alias("score"))
 
 
 @query("SELECT src AS node, d AS degree FROM deg", NODE_CTE)
@@ -336,11 +355,25 @@ def ovr_corr(s, d):
     return sc.correlations(_f(s, d), fx.gnodes(s, d))
 
 
-@query()
+@query(
+    "SELECT node, dim, round(val, 6) AS val FROM f JOIN (SELECT dim FROM sco ORDER BY score DESC, dim DESC LIMIT 10) USING (dim)",
+    NODE_CTE + ", sco AS (SELECT dim, max(coalesce(r, 0)) score FROM (SELECT dim, c, abs(corr(val, (y = c)::INT)) r FROM f JOIN gn USING (node) CROSS JOIN (SELECT DISTINCT y c FROM gn WHERE split = 'train') WHERE split = 'train' GROUP BY dim, c) GROUP BY dim)",
+)
 def prescreen_top(s, d):
     return sc.prescreen(_f(s, d), fx.gnodes(s, d), 10)
 
 
+@query("SELECT node, class, val FROM ohot", NODE_CTE)
+def one_hot(s, d):
+    n = fx.gnodes(s, d)
+    return sc.one_hot(n, _classes(n))
+
+
+@query("SELECT round(avg((dim = y)::INT::DOUBLE), 6) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY val DESC, dim) r FROM f) JOIN gn USING (node) WHERE r = 1", NODE_CTE)
+def argmax_accuracy(s, d):
+    return selection.accuracy(_f(s, d).withColumnRenamed("dim", "class"), fx.gnodes(s, d))
+
+
 @query("SELECT node, dim, round(2 * (val - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END - 1, 6) AS val FROM f JOIN (SELECT dim, min(val) lo, max(val) hi FROM f GROUP BY dim) USING (dim)", NODE_CTE)
 def minmax(s, d):
     return sc.minmax(_f(s, d))
@@ -409,10 +442,10 @@ def l0_laplacian(s, d):
     return topology.laplacian_0(fx.event_edges(fx.event_nodes(s, d)))
 
 
+B_CTE = EVENT_CTE + ", b1 AS (SELECT graph_id, u n, u, v, 1 s FROM ee UNION ALL SELECT graph_id, v, u, v, -1 FROM ee), b2 AS (SELECT graph_id, a u, b v, a, b, c, 1 s FROM tri UNION ALL SELECT graph_id, a, c, a, b, c, -1 FROM tri UNION ALL SELECT graph_id, b, c, a, b, c, 1 FROM tri)"
 L1_SQL = """SELECT graph_id, u, v, u2, v2, sum(val)::BIGINT AS val FROM (
 SELECT x.graph_id, x.u, x.v, y.u u2, y.v v2, x.s * y.s val FROM b1 x JOIN b1 y ON x.graph_id = y.graph_id AND x.n = y.n
 UNION ALL SELECT x.graph_id, x.u, x.v, y.u, y.v, x.s * y.s FROM b2 x JOIN b2 y ON x.graph_id = y.graph_id AND x.a = y.a AND x.b = y.b AND x.c = y.c) GROUP BY ALL HAVING sum(val) <> 0"""
-B_CTE = EVENT_CTE + ", b1 AS (SELECT graph_id, u n, u, v, 1 s FROM ee UNION ALL SELECT graph_id, v, u, v, -1 FROM ee), b2 AS (SELECT graph_id, a u, b v, a, b, c, 1 s FROM tri UNION ALL SELECT graph_id, a, c, a, b, c, -1 FROM tri UNION ALL SELECT graph_id, b, c, a, b, c, 1 FROM tri)"
 
 
 @query(L1_SQL, B_CTE)
@@ -438,6 +471,18 @@ def degree_values(s, d):
     return topology.degree_values(fx.event_edges(fx.event_nodes(s, d)))
 
 
+@query("SELECT e.graph_id, e.u, e.v, (a.label + b.label) / 2.0::DOUBLE AS value FROM ee e JOIN en a ON a.graph_id = e.graph_id AND a.node_id = e.u JOIN en b ON b.graph_id = e.graph_id AND b.node_id = e.v", EVENT_CTE)
+def label_values(s, d):
+    n = fx.event_nodes(s, d)
+    return topology.label_values(fx.event_edges(n), n)
+
+
+@query("SELECT graph_id, u, v, a, b, c, s AS sign, round(s * pow(p.value * q.value * r.value, 1.0::DOUBLE / 3), 6) AS val FROM b2 JOIN dv p USING (graph_id) JOIN dv q USING (graph_id) JOIN dv r USING (graph_id) WHERE p.u = a AND p.v = b AND q.u = a AND q.v = c AND r.u = b AND r.v = c".replace("SELECT graph_id, u, v,", "SELECT graph_id, b2.u, b2.v,"), B_CTE)
+def edge_weighted_b2(s, d):
+    e = settle(fx.event_edges(fx.event_nodes(s, d)), "edges")
+    return topology.edge_weighted_boundaries(e, topology.degree_values(e).withColumnRenamed("value", "weight"))[1].select("graph_id", "u", "v", "a", "b", "c", "sign", "val")
+
+
 @query("SELECT graph_id, step::INT AS step, round(tau, 6) AS tau FROM steps", EVENT_CTE)
 def degree_filtration_steps(s, d):
     return topology.thresholds(topology.degree_values(fx.event_edges(fx.event_nodes(s, d))), 10, 0.1)
@@ -530,6 +575,12 @@ def arccos_kernel_deg2(s, d):
     return kernels.arc_cosine(_pairs(s, d), 2)
 
 
+@query("SELECT i, j, round((sin(acos(c)) + (pi() - acos(c)) * c) / pi() + 0.5 * (3 * sin(acos(c)) * c + (pi() - acos(c)) * (1 + 2 * c * c)) / pi(), 6) AS k FROM kp", PAIR_CTE)
+def combined_kernel(s, d):
+    pairs = settle(_pairs(s, d), "pairs")
+    return kernels.combined(kernels.arc_cosine(pairs, 1), kernels.arc_cosine(pairs, 2), 0.5)
+
+
 @query("SELECT i, j, round(exp(-q / (2 * (SELECT median(q) FROM sq WHERE q > 1e-12))), 6) AS k FROM sq", NODE_CTE + ", sq AS MATERIALIZED (SELECT a.vec_id i, b.vec_id j, greatest(0, list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e)) q FROM emb a CROSS JOIN emb b)")
 def rbf_kernel_median(s, d):
     return kernels.rbf(_pairs(s, d))[0]
@@ -556,15 +607,15 @@ def wl_gram(s, d):
     return kernels.wl_gram(*_collection(s, d), 2)
 
 
-@query("SELECT a.dim AS a, b.dim AS b, round(sum(cos(a.val) * cos(b.val)), 6) AS v FROM f a JOIN f b USING (node) JOIN gn USING (node) WHERE split = 'train' AND a.dim < 8 AND b.dim < 8 GROUP BY 1, 2", NODE_CTE)
+@query("SELECT a.dim AS a, b.dim AS b, round(sum(cos(a.val) * cos(b.val)), 6) AS v FROM f a JOIN f b USING (node) JOIN gn USING (node) WHERE split = 'train' GROUP BY 1, 2", NODE_CTE)
 def ridge_normal_eq(s, d):
-    design = _f(s, d).where("dim < 8").select("node", F.col("dim").alias("col"), F.cos("val").alias("val"))
+    design = _f(s, d).select("node", F.col("dim").alias("col"), F.cos("val").alias("val"))
     return solvers.normal_equations(design, fx.gnodes(s, d).where("split = 'train'").select("node", "y"))[0]
 
 
-@query("SELECT node, dim + 1 AS col, round(cos(2 * val), 6) AS val FROM f WHERE dim < 4 UNION ALL SELECT node, 0, 1.0 FROM gn", NODE_CTE)
+@query("SELECT node, dim + 1 AS col, round(cos(2 * val), 6) AS val FROM f UNION ALL SELECT node, 0, 1.0 FROM gn", NODE_CTE)
 def cosine_design(s, d):
-    paths = [tuple(2 * (i == j) for j in range(64)) for i in range(4)]
+    paths = [tuple(2 * (i == j) for j in range(64)) for i in range(64)]
     return solvers.cosine_columns(_f(s, d), paths)
 
 
@@ -607,3 +658,57 @@ SELECT dataset, any_value(n) AS n, any_value(p) AS w_plus, any_value(q) AS w_min
 )
 def rank_wilcoxon(s, d):
     return statistics.signed_rank_sums(s.createDataFrame(WILCOXON, "dataset string, fold int, a double, b double"))
+
+
+@query(f"""SELECT dataset, 'm' AS method, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std FROM (VALUES {", ".join(f"('{k}', {a}::DOUBLE)" for k, n, a, b in WILCOXON)}) t(dataset, a) GROUP BY dataset""")
+def fold_summary(s, d):
+    from weft.sources.results import fold_summary as summary
+
+    return summary(s.createDataFrame([(k, "m", n, a) for k, n, a, _ in WILCOXON], "dataset string, method string, fold int, acc double"))
+
+
+@query()
+def wilcoxon(s, d):
+    return statistics.wilcoxon(s.createDataFrame(WILCOXON, "dataset string, fold int, a double, b double"))
+
+
+@query()
+def persistence_pairs(s, d):
+    n, e = _collection(s, d)
+    return topology.persistence_pairs(n, topology.degree_values(e))
+
+
+@query()
+def contrast_pair(s, d):
+    n, e = _collection(s, d)
+    return topology.contrast_pair(settle(topology.betti_numbers(n, e), "betti"), n.groupBy("graph_id").agg(F.count("*").alias("n")))
+
+
+@query()
+def wl_fold_scores(s, d):
+    n, e = _collection(s, d)
+    return pl.wl_folds(n, e, fx.graph_labels(n), 1, 5)
+
+
+def _results(s: SparkSession, found: list[dict]) -> DataFrame:
+    return s.createDataFrame([(r["method"], float(r["accuracy"])) for r in found], "method string, accuracy double")
+
+
+@query()
+def sgc(s, d):
+    return _results(s, [pl.run_sgc(_graph(s, d))])
+
+
+@query()
+def mlp(s, d):
+    return _results(s, [pl.run_mlp(_graph(s, d))])
+
+
+@query()
+def path_model_accuracy(s, d):
+    return _results(s, [pl.run_paths(_graph(s, d), "baseline", "greedy", top=4, most=3)])
+
+
+@query()
+def principal_axes(s, d):
+    return pl.principal_axes(fx.gnodes(s, d).select("node", "x"))

@@ -335,3 +335,23 @@ def step_sensitivity(nodes: DataFrame, edges: DataFrame, labels: DataFrame, step
         row = phs_folds(nodes, edges, labels, modes, n).agg(F.lit(n).alias("steps"), F.avg("acc").alias("mean"), F.stddev_pop("acc").alias("std"))
         out = row if out is None else out.unionAll(row)
     return out
+
+
+def compared(nodes: DataFrame, edges: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """dataset, n, p, result: topological vectors (a) against the subtree kernel (b) over the same folds."""
+    from weft.operators.statistics import wilcoxon
+
+    a = phs_folds(nodes, edges, labels, **options).select("dataset", "fold", F.col("acc").alias("a"))
+    return wilcoxon(a.join(wl_folds(nodes, edges, labels).select("dataset", "fold", F.col("acc").alias("b")), ["dataset", "fold"]))
+
+
+def principal_axes(vectors: DataFrame, k: int = 2) -> DataFrame:
+    """node, axes: vectors (node, x) on their k main axes, the signs as the solver gives them made positive at the largest entry of an axis."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = vectors.select("node", array_to_vector("x").alias("features"))
+    model = PCA(k=k, inputCol="features", outputCol="axes").fit(data)
+    axes = model.pc.toArray()
+    signs = F.array(*[F.lit(1.0 if axes[abs(axes[:, i]).argmax(), i] >= 0 else -1.0) for i in range(k)])
+    return model.transform(data).select("node", F.zip_with(vector_to_array("axes"), signs, lambda a, b: F.round(a * b, 6)).alias("axes"))

@@ -24,7 +24,7 @@ def gnodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(nodes: DataFrame) -> DataFrame:
     """node, dim, val of nodes (node, x)."""
-    return nodes.select("node", F.posexplode("x").alias("dim", "val"))
+    return nodes.select("node", F.posexplode("x").alias("dim", "val")).withColumn("dim", F.col("dim").cast("long"))
 
 
 def gedges(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
