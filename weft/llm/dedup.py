@@ -225,7 +225,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     more = _linked(across.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).join(stars, ["a", "b"], "left_anti"), docs, nodes)
     if not more.isEmpty():
         lifted = more.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
-        joined = settle(components(lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "joined").withColumnsRenamed({"node": "root", "root": "top"})
+        joined = settle(components(lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "joined").toDF("root", "top")
         singles = lifted.select(F.explode(F.array(F.when(F.col("ra").isNull(), F.col("a")), F.when(F.col("rb").isNull(), F.col("b")))).alias("node")).where("node is not null").distinct().withColumn("root", F.col("node"))
         roots = settle(roots.unionAll(singles).join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
     grouped = nodes.select("key", "doc").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
