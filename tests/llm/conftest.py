@@ -22,6 +22,7 @@ def rows():
     out += [(100 + i, edit(base, 40, i), "en", "s0", 5) for i in range(40)]  # near copies of base, of each other less
     out += [(200 + i, prose(50 + i, 120), "en", f"s{i % 7}", 7) for i in range(30)]
     out += [(300, prose(9, 50), "fr", "s1", 9)] * 3  # repeated rows
+    out += [(None, prose(10, 30), None, None, None), ((1 << 62) + 1, prose(11, 30), "fr", "s2", 3)]  # a null id beside one that doubles can't hold
     return out
 
 

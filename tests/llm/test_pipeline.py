@@ -40,8 +40,8 @@ def test_run(spark, folder, empty):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, folder)
-    step = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in docs.collect())
-    whole = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in cp.run(spark, folder).collect())
+    step = sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"]) for r in docs.collect())
+    whole = sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"]) for r in cp.run(spark, folder).collect())
     assert step == whole and step
     assert cp.run(spark, empty).count() == 0
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, settle, table
+from .common import map_pandas, pick, settle, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -206,7 +206,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_key (MD5), class_id (least doc_id of the class), is_first (one row of each class)."""
     docs = pick(docs, "doc_id", "text")
-    signed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text").mapInPandas(_sign, "doc_id long, key string, bands array<long>")
+    signed = map_pandas(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text"), _sign, "doc_id long, key string, bands array<long>", "doc_id")
     signed = settle(signed, "signatures")
     nodes = settle(signed.groupBy("key").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "nodes")
     banded = nodes.select("key", F.posexplode("bands").alias("band", "value"))

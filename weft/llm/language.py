@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import map_pandas, pick, table
 
 BUCKETS = 1 << 15
 #: The training sample's bound: about so many documents of each language, chosen by hash.
@@ -133,7 +133,8 @@ def identify(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")) ->
     model = docs.sparkSession.sparkContext.broadcast(logp)  # BUCKETS rows of as many numbers as languages
     kept = pick(docs, *columns)
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
-    return kept.mapInPandas(_predictor(langs, model), f"{schema}, lang_pred string, score double, languages string").withColumn("held_out", is_held_out())
+    whole = [c for c, t in kept.dtypes if t == "bigint"]
+    return map_pandas(kept, _predictor(langs, model), f"{schema}, lang_pred string, score double, languages string", *whole).withColumn("held_out", is_held_out())
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import map_pandas, pick, table
 
 WIDTH = 576
 
@@ -246,7 +246,7 @@ def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def stored_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, declared, media: each text as the samples of a medium, under a type that may be wrong. All follow from the text."""
-    return pick(docs, "doc_id", "text").mapInPandas(_store, "doc_id long, n_bytes long, declared string, media binary")
+    return map_pandas(pick(docs, "doc_id", "text"), _store, "doc_id long, n_bytes long, declared string, media binary", "doc_id")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,8 +275,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sniffed(media: DataFrame, *keys: str) -> DataFrame:
     """Of a table (keys, declared, media): the corrected kind, digests of the stored and read bytes, and what was found."""
     kept = "".join(f"`{k}` {dict(media.dtypes)[k]}, " for k in keys)
-    return pick(media, *keys, "declared", "media").mapInPandas(
-        _read, f"{kept}declared string, kind string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, found array<struct<kind:string,offset:long,length:long>>"
+    return map_pandas(
+        pick(media, *keys, "declared", "media"),
+        _read,
+        f"{kept}declared string, kind string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, found array<struct<kind:string,offset:long,length:long>>",
+        *[k for k in keys if dict(media.dtypes)[k] == "bigint"],
     )
 
 
@@ -288,7 +291,8 @@ def _carve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def carved(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """The found media themselves: key, kind, offset, carved."""
-    return pick(media, key, "media").mapInPandas(_carve, f"`{key}` {dict(media.dtypes)[key]}, kind string, offset long, carved binary")
+    kind = dict(media.dtypes)[key]
+    return map_pandas(pick(media, key, "media"), _carve, f"`{key}` {kind}, kind string, offset long, carved binary", *[key] * (kind == "bigint"))
 
 
 def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,14 @@ empty results. Extra columns are ignored. Reruns agree, as u is a hash of doc_id
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, settle, table
+from .common import map_pandas, pick, settle, table
 
 #: Buckets of a source's key order in each doubling of the key: by its scale no bucket holds over 0.1 % of exponential keys, whatever the weights.
 PER_OCTAVE = 512
@@ -84,8 +85,6 @@ def op8_efraimidis_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repeat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import re
-
     word = re.compile("[^\x20\x09-\x0d]+")
     for batch in batches:
         rows = []
@@ -95,11 +94,10 @@ def _repeat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while n > 0:
                 if n < all_words:  # the words that the target still lacks
                     end = [m.end() for _, m in zip(range(int(n)), word.finditer(row["text"]), strict=False)][-1]
-                    row = row | {"text": row["text"][:end], "n_chars": end}
+                    row = row | {"text": row["text"][:end], "n_chars": str(end)}
                 rows.append(row)
                 n -= all_words
-        out = pd.DataFrame(rows, columns=batch.columns)
-        yield out.astype({"doc_id": "Int64", "n_chars": "Int64"})
+        yield pd.DataFrame(rows, columns=batch.columns, dtype=object)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -110,4 +108,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     plan = plan.withColumn("taken", F.ceil(F.col("taken") / F.col("rows")).cast("long")).drop("rows")
     sized = docs.withColumn("n_words", words(F.col("text")))
     both = sized.join(plan, sized["doc_id"].eqNullSafe(plan["id"]) & sized["source"].eqNullSafe(plan["s"]) & (F.col("n_words") == F.col("size"))).drop("id", "s", "n_words")
-    return both.mapInPandas(_repeat, docs.schema)
+    return map_pandas(both, _repeat, "doc_id long, text string, lang string, source string, n_chars long", "doc_id", "n_chars")

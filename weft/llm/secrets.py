@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, settle, table
+from .common import map_pandas, pick, settle, table
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Kinds that the method adds to the base ones.
@@ -84,8 +84,11 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """One row a document with its candidates; written once, as it is read three times."""
-    spans = docs.select("doc_id", repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), "text").mapInPandas(
-        _scan, f"doc_id long, repository string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates {CANDIDATE}"
+    spans = map_pandas(
+        docs.select("doc_id", repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), "text"),
+        _scan,
+        f"doc_id long, repository string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates {CANDIDATE}",
+        "doc_id",
     )
     return settle(spans.withColumn("row", F.monotonically_increasing_id()), "secrets")
 
@@ -152,4 +155,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     live = ownership_scan(docs).select(F.col("doc_id").alias("id"), F.explode("spans").alias("s")).where("s.live").groupBy("id").agg(F.collect_set("s.hash").alias("hidden"))
     both = docs.join(live, docs["doc_id"].eqNullSafe(live["id"]), "left").drop("id")
-    return both.mapInPandas(_redact, docs.schema).withColumn("n_chars", F.length("text").cast("long"))
+    return map_pandas(both.drop("n_chars"), _redact, "doc_id long, text string, lang string, source string", "doc_id").withColumn("n_chars", F.length("text").cast("long"))
