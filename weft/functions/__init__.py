@@ -1 +1 @@
-
+"""Scaling and column functions."""

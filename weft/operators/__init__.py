@@ -1 +1 @@
-
+"""Operators on graphs, collections, kernels and scores."""

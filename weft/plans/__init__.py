@@ -1 +1 @@
-
+"""Pipelines and the catalogue of queries."""

@@ -1 +1 @@
-
+"""The analytics have no streams."""
