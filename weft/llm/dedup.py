@@ -39,8 +39,10 @@ K = BANDS * ROWS
 SKETCH = -(-K // 16)
 LEAST_AGREEING = 78
 FIRST_SLAB = 2.0**-6
-#: Words kept a worker; a full cache is emptied. Set elements put through the darts at a time.
-CACHE_WORDS, AT_ONCE = 400_000, 200_000
+#: Words kept a worker; a full cache is emptied.
+CACHE_WORDS = 200_000
+#: Set elements and darts worked on at a time, and the darts that a set gets at most, about, however small it is.
+AT_ONCE, DARTS = 500_000, 12 * K
 
 U = np.uint64
 GOLDEN = 0x9E3779B97F4A7C15
@@ -169,7 +171,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(runs):
                     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     group.append((i, mixed(np.repeat(runs, n) + nth.astype(U) * U(GOLDEN))))  # each unit of weight
-                    size += int(n.sum())
+                    size += int(n.sum()) + DARTS
             if size >= AT_ONCE:
                 flush()
                 size = 0
