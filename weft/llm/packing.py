@@ -13,52 +13,82 @@ an empty table gives no pieces. Extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
+import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
-import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, settle, table
+from .common import map_pandas, pick, settle, table
 
 CAPACITY = 2048
 END_ID = 1
-#: Words kept a worker; a full cache is emptied.
-CACHE_WORDS = 400_000
+END = struct.pack("<I", END_ID)
+#: Words and chunks between white space kept a worker, in each of two generations.
+CACHE_WORDS, CACHE_CHUNKS = 100_000, 100_000
 
 #: How the tokenizer splits lower-cased text, over the characters of PLAIN.
 PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
 
 
-class Encoder(dict):
-    """Ids of texts. Words are looked up one by one; texts beyond Latin-1 go to the tokenizer whole."""
+class Recent(dict):
+    """A cache of two generations: a full one becomes the old one, and what is used again comes back from it."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
+class Encoder:
+    """Ids of texts, four bytes each. White space separates words, so a text over PLAIN is looked up chunk by chunk; others go to the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
+        self.words = Recent(self._word, CACHE_WORDS)
+        self.chunks = Recent(self._chunk, CACHE_CHUNKS)
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def _word(self, word: str) -> bytes:
+        own = word if word.isascii() else word.translate(self.bytes_of)
+        return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
-    def ids(self, text: str) -> list[int]:
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, WORD.findall(chunk.lower())))
+
+    def ids(self, text: str) -> bytes:
         if PLAIN.fullmatch(text):
-            return list(chain.from_iterable(map(self.__getitem__, WORD.findall(text.lower()))))
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One a worker, for all its tasks."""
+    return Encoder(path)
 
 
 @lru_cache(maxsize=4)
@@ -81,31 +111,33 @@ def change(capacity: int) -> list[int]:
     return cut
 
 
-def pieces(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths, longest first, that sum to n, each the largest of its class."""
-    cut, rest = change(capacity), n % capacity
-    out = []
+@lru_cache(maxsize=1 << 14)
+def _rest(rest: int, capacity: int) -> tuple[int, ...]:
+    cut, out = change(capacity), []
     while rest:
         out.append(cut[rest])
         rest -= cut[rest]
-    return [capacity] * (n // capacity) + sorted(out, reverse=True)
+    return tuple(sorted(out, reverse=True))
+
+
+def pieces(n: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths, longest first, that sum to n, each the largest of its class."""
+    return [capacity] * (n // capacity) + list(_rest(n % capacity, capacity))
 
 
 def _cutter(path: str, capacity: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, chunk, ranks = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, chunk, ranks = encoder_of(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*encoder.ids(text or ""), END_ID], dtype="<u4")
-                start, whole = 0, memoryview(ids.tobytes())
-                for length in pieces(len(ids), capacity):
+                ids = encoder.ids(text or "") + END
+                start, whole, n = 0, memoryview(ids), len(ids) // 4
+                for length in pieces(n, capacity):
                     rank = ranks[length] = ranks.get(length, -1) + 1
-                    rows.append((doc_id, start, length, zlib.crc32(whole[4 * start : 4 * (start + length)]), len(ids), chunk, rank))
+                    rows.append((doc_id, start, length, zlib.crc32(whole[4 * start : 4 * (start + length)]), n, chunk, rank))
                     start += length
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "chunk", "rank"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "chunk", "rank"])
 
     return cut
 
@@ -113,8 +145,6 @@ def _cutter(path: str, capacity: int):
 def leftover_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
     """(length, index, bin, offset) of counts[length] < capacity // length pieces of each length, best-fit, longest first."""
     out, bins = [], []  # bins: room, number
-    import bisect
-
     n = 0
     for length in sorted(counts, reverse=True):
         for index in range(counts[length]):
@@ -131,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, class (pieces of this length in a full sequence)."""
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
-    cut = settle(docs.mapInPandas(_cutter(tokenizer, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, chunk int, rank long"), "pieces")
+    cut = settle(map_pandas(docs, _cutter(tokenizer, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, chunk int, rank long", "doc_id"), "pieces")
     chunks = cut.groupBy("length", "chunk").agg((F.max("rank") + 1).alias("n"))
     before = chunks.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).drop("n")
     totals = {r["length"]: r["n"] for r in chunks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a class
