@@ -7,7 +7,8 @@ method's own kinds are reported only where they look live.
 
 Defined cases: null text is empty and has no candidates; empty tables give empty results;
 repeated rows give one result row each, and count once as a repository; null owners count as
-one owner. Extra columns are ignored. Offsets are code points, ends exclusive.
+one owner. A private key's value is its body without white space, and its span the whole block. Extra
+columns are ignored. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ WHOLE = {
     # a maximal run that is too short has no long enough part, so the least length can stand in the pattern
     "access": re.compile(r"AKIA[A-Z0-9]{16,}"),
     "hex": re.compile(r"[0-9a-f]{24,}"),
-    "private_key": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # the block up to its END line, to the next key or to the text's end, if it is cut short
+    "private_key": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(.*?)(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|(?=-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)|\Z)", re.DOTALL),
     "forge": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -45,6 +47,10 @@ WHOLE = {
 }
 MUST_HOLD = {"access": "AKIA", "private_key": "PRIVATE KEY", "forge": "gh", "chat": "xox", "jwt": "eyJ", "bearer": "earer"}
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|(.)\1{7}")
+#: Keys hold runs of one character (OpenSSH's have many A), and four x by chance.
+KEY_PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|your[_-]|x{8}|dummy")
+#: White space of a key's body, also as escapes in a string.
+BLANK = re.compile(r"(?:\s|\\[nrt])+")
 
 CANDIDATE = "array<struct<kind:string,rank:int,start:int,end:int,hash:string,entropy:double,placeholder:boolean>>"
 
@@ -62,7 +68,7 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
         found += [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     for kind, pattern in WHOLE.items():
         if MUST_HOLD.get(kind, "") in text:
-            found += [(kind, m.start(), m.end(), m[m.re.groups]) for m in pattern.finditer(text)]
+            found += [(kind, m.start(), m.end(), BLANK.sub("", m[1]) if kind == "private_key" else m[m.re.groups]) for m in pattern.finditer(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -75,7 +81,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kinds = Counter(x[0] for x in base)
             digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e, _ in base).encode()).hexdigest()
             cands = [
-                {"kind": k, "rank": KINDS.index(k), "start": s, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "entropy": entropy(v), "placeholder": PLACEHOLDER.search(v) is not None}
+                {"kind": k, "rank": KINDS.index(k), "start": s, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "entropy": entropy(v), "placeholder": (KEY_PLACEHOLDER if k == "private_key" else PLACEHOLDER).search(v) is not None}
                 for k, s, e, v in found
             ]
             rows.append((*(kinds[k] for k in BASE_KINDS), digest, cands))
