@@ -176,6 +176,30 @@ def test_near_links_against_all_pairs(spark):
     assert sorted(((r["a_hi"], r["a_lo"]), (r["b_hi"], r["b_lo"])) for r in found) == sorted(want) and len(want) > 50
 
 
+def test_simhash_links_near_copies(spark, tmp_path):
+    """Pairs with a similarity of 0.8 and more, also with repeated runs, and a group of copies larger than an array."""
+    texts = []
+    for i in range(120):
+        base = brute.prose(1000 + i, (60, 200, 600)[i % 3]) + (" " + brute.prose(5000 + i, 12)) * (40 if i % 4 == 0 else 0)
+        texts += [base, brute.edit(base, (60, 90, 150)[i // 3 % 3], i)]
+    group = brute.prose(9, 300)
+    texts += [brute.edit(group, 100, i) for i in range(700)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in QUERIES[NAMES["op5"]](spark, str(tmp_path)).collect()}
+    prints = [int(out[i]["fingerprint"], 16) for i in range(len(texts))]
+    near, alike = [], []
+    for i in range(0, 240, 2):
+        a, b = map(brute.shingles, texts[i : i + 2])
+        both = sum((a & b).values())
+        if a != b and both / (sum(a.values()) + sum(b.values()) - both) >= 0.8:
+            alike.append(out[i]["n_near"] > 0 and out[i + 1]["n_near"] > 0)
+        near.append((out[i]["n_near"] > 0) == ((prints[i] ^ prints[i + 1]).bit_count() <= simhash.NEAR))
+    assert len(alike) > 60 and np.mean(alike) >= 0.95 and np.mean(near) >= 0.98
+    want = [sum((prints[i] ^ prints[j]).bit_count() <= simhash.NEAR for j in range(240, len(texts))) - 1 for i in range(240, len(texts))]
+    got = [out[i]["n_near"] for i in range(240, len(texts))]
+    assert sum(got) >= 0.999 * sum(want) and all(g <= w for g, w in zip(got, want, strict=True)) and max(got) > simhash.MEMBERS
+
+
 def test_simhash_votes(spark):
     """The packed sums give the same bits as sums bit by bit."""
     text = " ".join(f"w{i % 700}" for i in range(3000))
