@@ -277,6 +277,18 @@ def test_carved(spark):
     assert [(r["doc_id"], r["kind"], r["offset"], bytes(r["carved"])) for r in out] == [(1, "wav", 2, data)]
 
 
+def test_media_inside_documents(spark, tmp_path):
+    pdf = "%PDF-1.4 P5 2 2 255 abcd startxref 9 %%EOF"
+    texts = [f"see {pdf} end", "x P5 3 2 255 abcdef y", "plain %PDF- words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    features = {r["doc_id"]: r["feature"].split(";") for r in QUERIES[NAMES["op7"]](spark, str(tmp_path)).collect()}
+    assert features[0][2:] == [f"payload/pdf@4+{len(pdf)}", "payload/pgm@13+15"]
+    assert features[1][2:] == ["payload/pgm@2+17"] and len(features[2]) == 2
+    outer = b"%PDF-" + media.store(b"a" * 576, "wav") + b"startxref%%EOF"
+    r = media.sniffed(spark.createDataFrame([(1, "x", bytearray(outer))], "doc_id long, declared string, media binary"), "doc_id").first()
+    assert [(f["kind"], f["offset"]) for f in r["found"]] == [("pdf", 0), ("wav", 5)] and r["inside"] == []
+
+
 def test_mixing(spark, folder, rows):
     sizes = Counter()
     for _, text, _, source, _ in rows:

@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton finds the magic bytes of all formats in one pass over a value; a
 validator for each format confirms structure and length at every hit. The format of the medium
-that begins the value corrects the declared type; media inside are carved with their extents.
+that begins the value corrects the declared type; media inside, at any depth, are found with their extents: in the
+samples that are read back, or in the bytes of other media as far as they are stored uncompressed.
 
 Defined cases: a null value has no media; a null or wrong declared type is corrected by what is found;
 bytes without valid media keep type "unknown"; empty tables give empty results; repeated rows
@@ -233,6 +234,17 @@ def sniff(data: bytes | None) -> list[tuple[str, int, int]]:
     return out
 
 
+def within(data: bytes) -> list[tuple[str, int, int]]:
+    """(kind, offset, length) of every valid medium and of what lies in its bytes, at any depth, by offset."""
+    out, open_ = [], [(0, len(data))]
+    while open_:
+        start, end = open_.pop()
+        for kind, at, n in sniff(data[start:end]):
+            out.append((kind, start + at, n))
+            open_.append((start + at + 1, start + at + n))
+    return sorted(out, key=lambda x: (x[1], -x[2]))
+
+
 def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -256,6 +268,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = sniff(data)
             kind = found[0][0] if found and found[0][1] == 0 else "unknown"
             payload = load(data[: found[0][2]], kind) if kind in STORED else b""
+            # the samples of the first medium are looked at as they are read, the bytes of others as they stand
+            raw = found[kind in STORED :]
+            deeper = [(k, o + 1 + at, n) for _, o, size in raw for k, at, n in within(data[o + 1 : o + size])]
             rows.append(
                 {
                     "declared": declared,
@@ -265,20 +280,21 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "tail_crc32": zlib.crc32(payload[-32:]),
                     "media_bytes": len(data or b""),
                     "media_sha256": hashlib.sha256(data or b"").hexdigest(),
-                    "found": [{"kind": k, "offset": o, "length": n} for k, o, n in found],
+                    "found": [{"kind": k, "offset": o, "length": n} for k, o, n in sorted(found + deeper, key=lambda x: (x[1], -x[2]))],
+                    "inside": [{"kind": k, "offset": o, "length": n} for k, o, n in within(payload)],
                 }
             )
-        columns = ["declared", "kind", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "found"]
+        columns = ["declared", "kind", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "found", "inside"]
         yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=columns)], axis=1)
 
 
 def sniffed(media: DataFrame, *keys: str) -> DataFrame:
-    """Of a table (keys, declared, media): the corrected kind, digests of the stored and read bytes, and what was found."""
+    """Of a table (keys, declared, media): the corrected kind, digests of the stored and read bytes, what was found in the stored ones, and what lies inside the read ones."""
     kept = "".join(f"`{k}` {dict(media.dtypes)[k]}, " for k in keys)
     return map_pandas(
         pick(media, *keys, "declared", "media"),
         _read,
-        f"{kept}declared string, kind string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, found array<struct<kind:string,offset:long,length:long>>",
+        f"{kept}declared string, kind string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, found array<struct<kind:string,offset:long,length:long>>, inside array<struct<kind:string,offset:long,length:long>>",
         *[k for k in keys if dict(media.dtypes)[k] == "bigint"],
     )
 
@@ -296,11 +312,13 @@ def carved(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: declared>kind, each medium as kind@offset+length, and those inside the samples after payload/."""
     stored = stored_texts(table(spark, sf_dir, "documents"))
     read = sniffed(stored, "doc_id", "n_bytes")
+    listed = lambda media, place: F.transform(media, lambda f: F.concat_ws("", F.lit(place), f["kind"], F.lit("@"), f["offset"].cast("string"), F.lit("+"), f["length"].cast("string")))
     feature = F.concat_ws(
         ";",
         F.concat_ws(">", "declared", "kind"),
-        F.array_join(F.transform("found", lambda f: F.concat_ws("", f["kind"], F.lit("@"), f["offset"].cast("string"), F.lit("+"), f["length"].cast("string"))), ";"),
+        F.array_join(F.concat(listed("found", ""), listed("inside", "payload/")), ";"),
     )
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "kind")
