@@ -116,6 +116,17 @@ def test_packing(spark, folder, rows):
     assert padding < 0.02 * sum(n for f in sequences.values() for _, n in f) + 2048
 
 
+def test_added_tokens_are_looked_up():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    for text in ("hello <|endoftext|> world", "a<|startoftext|>b  <|endoftext|>", "<|ENDOFTEXT|> x", "é <|endoftext|> 日本", "no < | token |> here"):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    assert 49407 in np.frombuffer(encoder.ids("hello <|endoftext|> world"), "<u4")
+
+
 def test_pieces():
     for n in (1, 2, 2047, 2048, 2049, 5000):
         out = packing.pieces(n)

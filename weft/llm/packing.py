@@ -59,13 +59,13 @@ class Recent(dict):
 
 
 class Encoder:
-    """Ids of texts, four bytes each. White space separates words, so a text over PLAIN is looked up chunk by chunk; others go to the tokenizer whole."""
+    """Ids of texts, four bytes each. White space separates words, so a text over PLAIN is looked up chunk by chunk; others, and texts that hold an added token, go to the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
@@ -80,7 +80,8 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, WORD.findall(chunk.lower())))
 
     def ids(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text):
+        lower = text.lower()
+        if PLAIN.fullmatch(text) and not any(t in lower for t in self.added):
             return b"".join(map(self.chunks.__getitem__, text.split()))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
