@@ -74,6 +74,25 @@ def licenses(text):
     return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def license_labels(text, templates, k=3, neighbours=4, least=0.6, stretch=1.5):
+    """Labels of the templates of which a chain of runs, ascending in the text and in the template, is found; every chain is tried."""
+    w, out = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), set()
+    for phrase, label in templates:
+        own = phrase.split()
+        hits = [(i, t) for i in range(len(w) - k + 1) for t in range(len(own) - k + 1) if w[i : i + k] == own[t : t + k]]
+        diagonals = sorted({i - t for i, t in hits})
+        group = {d: sum(b - a > neighbours for a, b in zip(diagonals[: n + 1], diagonals[1 : n + 1], strict=False)) for n, d in enumerate(diagonals)}
+        longest = {}  # (first, hit): runs of the longest chain that begins and ends so
+        for i, t in hits:
+            longest[i, (i, t)] = 1
+            for (first, (j, s)), n in list(longest.items()):
+                if j < i and s < t and group[j - s] == group[i - t] and i + k - first <= int(stretch * len(own)):
+                    longest[first, (i, t)] = max(longest.get((first, (i, t)), 0), n + 1)
+        if longest and max(longest.values()) >= least * (len(own) - k + 1):
+            out.add(label)
+    return out
+
+
 def shingles(text):
     w = (text or "").lower().split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()

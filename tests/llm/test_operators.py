@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from weft.llm import dedup, language, media, packing, pii, secrets, simhash, warc
+from weft.llm import dedup, language, licenses, media, packing, pii, secrets, simhash, warc
 from weft.llm.queries import ORACLE_SQL, QUERIES
 
 NAMES = {n.split("_")[0]: n for n in QUERIES}
@@ -325,6 +325,39 @@ def test_licenses(spark, folder, rows):
     assert {r["doc_id"]: r["labels"] for r in result(spark, "op9", folder)}[14] == "mit-text"
 
 
+def test_license_spans_are_verified(spark):
+    """Reversed, scattered and repeated runs hold none; put in, left out and changed words are bridged, as trying every chain says."""
+    import random
+
+    rng = random.Random(3)
+    text_of = {label: text for text, label in licenses.TEMPLATES}
+    mit = text_of["mit-text"].split()
+    runs = [mit[i : i + 3] for i in range(len(mit) - 2)]
+    texts = [
+        " ".join(mit),
+        " ".join(w for r in reversed(runs) for w in r),
+        " ".join(w for r in runs for w in r),
+        " ".join(w for r in runs for w in (*r, *"and so it goes on for quite some time".split())),
+        " ".join(mit[0:3] * 4000),
+        " ".join([*mit[:9], "really", "now", *mit[9:]]),
+        " ".join(mit[10:] + mit[:10]),
+        "the " * 20_000 + " ".join(mit) + " the" * 20_000,
+    ]
+    for _ in range(150):
+        words = text_of[rng.choice([*text_of])].split()
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(3)] = rng.choices(("x", "the", "of", "license", "permission is hereby"), k=rng.randrange(3))
+        half = rng.randrange(len(words) + 1)
+        texts.append(" ".join(["some"] * rng.randrange(4) + rng.choice((words, words[half:] + words[:half], words + words, words[::-1]))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) - {x for _, x in brute.PHRASES} for r in licenses.scanned(docs).collect()}
+    want = [brute.license_labels(t, licenses.TEMPLATES) if i not in (4, 7) else ({"mit-text"} if i == 7 else set()) for i, t in enumerate(texts)]
+    assert [got[i] for i in range(len(texts))] == want
+    assert want[0] == want[5] == {"mit-text"} and not any(want[1:5]) and sum(map(len, want)) > 60
+    assert {r["labels"] for r in licenses.scanned(docs.limit(1), [("hereby granted free", "own")]).collect()} == {"own"}
+
+
 def test_near_classes(spark, folder, rows):
     roots = brute.near_classes([r[1] for r in rows])
     least = defaultdict(lambda: None)
