@@ -93,22 +93,39 @@ def load(data: bytes, kind: str) -> bytes:
     raise ValueError(kind)
 
 
-def _wav(d: bytes, at: int) -> int:
-    if d[at + 8 : at + 12] != b"WAVE" or len(d) < at + 20:
+class Marks:
+    """Where a mark stands next, for positions that only rise: the bytes are searched once for each mark."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at = data, {}
+
+    def after(self, mark: bytes, at: int, end: int) -> int:
+        """The first place of the mark in data[at:end], or -1."""
+        found = self.at.get(mark, 0)
+        if 0 <= found < at or mark not in self.at:
+            found = self.at[mark] = self.data.find(mark, at)
+        return found if 0 <= found <= end - len(mark) else -1
+
+
+# Validators: the length of the medium at data[at:], none of it at `end` or beyond, or 0.
+
+
+def _wav(d: bytes, at: int, end: int, marks: Marks) -> int:
+    if d[at + 8 : at + 12] != b"WAVE" or end < at + 20:
         return 0
-    end, pos, seen = at + 8 + struct.unpack_from("<I", d, at + 4)[0], at + 12, set()
-    while pos + 8 <= min(end, len(d)):
+    last, pos, seen = at + 8 + struct.unpack_from("<I", d, at + 4)[0], at + 12, set()
+    while last <= end and pos + 8 <= last:
         seen.add(d[pos : pos + 4])
         n = struct.unpack_from("<I", d, pos + 4)[0]
         pos += 8 + n + n % 2
-    return end - at if end <= len(d) and pos == end and {b"fmt ", b"data"} <= seen else 0
+    return last - at if last <= end and pos == last and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(d: bytes, at: int) -> int:
+def _png(d: bytes, at: int, end: int, marks: Marks) -> int:
     pos, first = at + 8, True
-    while pos + 12 <= len(d):
+    while pos + 12 <= end:
         n, name = struct.unpack_from(">I", d, pos)[0], d[pos + 4 : pos + 8]
-        if first != (name == b"IHDR") or pos + 12 + n > len(d) or zlib.crc32(memoryview(d)[pos + 4 : pos + 8 + n]) != struct.unpack_from(">I", d, pos + 8 + n)[0]:
+        if first != (name == b"IHDR") or pos + 12 + n > end or zlib.crc32(memoryview(d)[pos + 4 : pos + 8 + n]) != struct.unpack_from(">I", d, pos + 8 + n)[0]:
             return 0
         pos, first = pos + 12 + n, False
         if name == b"IEND":
@@ -116,58 +133,58 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(d: bytes, at: int) -> int:
-    if len(d) < at + 54:
+def _bmp(d: bytes, at: int, end: int, marks: Marks) -> int:
+    if end < at + 54:
         return 0
     size, zero, start, header, width, rows, planes, bits = *struct.unpack_from("<III", d, at + 2), *struct.unpack_from("<IiiHH", d, at + 14)
     if zero or header not in (40, 108, 124) or planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or rows == 0 or start < 14 + header:
         return 0
     compression = struct.unpack_from("<I", d, at + 30)[0]
     body = (width * bits + 31) // 32 * 4 * abs(rows)
-    return size if at + size <= len(d) and (compression or start + body == size) else 0
+    return size if at + size <= end and (compression or start + body == size) else 0
 
 
-def _pgm(d: bytes, at: int) -> int:
+def _pgm(d: bytes, at: int, end: int, marks: Marks) -> int:
     fields, pos = [], at + 2
     for _ in range(3):
         begin = pos
-        while pos < len(d) and d[pos] in b" \t\r\n" and pos - begin < 8:
+        while pos < end and d[pos] in b" \t\r\n" and pos - begin < 8:
             pos += 1
         digits = pos
-        while pos < len(d) and 48 <= d[pos] <= 57 and pos - digits < 10:
+        while pos < end and 48 <= d[pos] <= 57 and pos - digits < 10:
             pos += 1
         if begin == digits or digits == pos:
             return 0
         fields.append(int(d[digits:pos]))
     width, rows, most = fields
-    end = pos + 1 + width * rows * (1 + (most > 255))
-    return end - at if 0 < most < 65536 and width * rows and pos < len(d) and d[pos] in b" \t\r\n" and end <= len(d) else 0
+    last = pos + 1 + width * rows * (1 + (most > 255))
+    return last - at if 0 < most < 65536 and width * rows and pos < end and d[pos] in b" \t\r\n" and last <= end else 0
 
 
-def _gif(d: bytes, at: int) -> int:
-    if d[at + 4 : at + 6] not in (b"7a", b"9a") or len(d) < at + 13:
+def _gif(d: bytes, at: int, end: int, marks: Marks) -> int:
+    if d[at + 4 : at + 6] not in (b"7a", b"9a") or end < at + 13:
         return 0
     table = lambda flags: 3 * 2 ** ((flags & 7) + 1) if flags & 128 else 0
     pos = at + 13 + table(d[at + 10])
-    while pos < len(d):
+    while pos < end:
         kind = d[pos]
         if kind == 0x3B:
             return pos + 1 - at
-        if kind == 0x2C and pos + 10 < len(d):
+        if kind == 0x2C and pos + 10 < end:
             pos += 11 + table(d[pos + 9])
         elif kind == 0x21:
             pos += 2
         else:
             return 0
-        while pos < len(d) and d[pos]:
+        while pos < end and d[pos]:
             pos += 1 + d[pos]
         pos += 1
     return 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
+def _jpeg(d: bytes, at: int, end: int, marks: Marks) -> int:
     pos, frame = at + 2, False
-    while pos + 4 <= len(d) and d[pos] == 0xFF:
+    while pos + 4 <= end and d[pos] == 0xFF:
         kind = d[pos + 1]
         n = struct.unpack_from(">H", d, pos + 2)[0]
         if kind < 0xC0 or n < 2:
@@ -175,38 +192,39 @@ def _jpeg(d: bytes, at: int) -> int:
         frame |= 0xC0 <= kind <= 0xC2
         pos += 2 + n
         if kind == 0xDA:  # entropy-coded bytes up to a marker that isn't stuffing or a restart
-            while (pos := d.find(b"\xff", pos)) >= 0 and pos + 1 < len(d) and (d[pos + 1] == 0 or 0xD0 <= d[pos + 1] <= 0xD7):
+            while (pos := d.find(b"\xff", pos, end)) >= 0 and pos + 1 < end and (d[pos + 1] == 0 or 0xD0 <= d[pos + 1] <= 0xD7):
                 pos += 2
-            if pos < 0 or pos + 1 >= len(d):
+            if pos < 0 or pos + 1 >= end:
                 return 0
             if d[pos + 1] == 0xD9:
                 return pos + 2 - at if frame else 0
     return 0
 
 
-def _gzip(d: bytes, at: int) -> int:
-    z = zlib.decompressobj(31)
+def _gzip(d: bytes, at: int, end: int, marks: Marks) -> int:
+    z, pos, part, view = zlib.decompressobj(31), at, 65536, memoryview(d)
     try:
-        rest = memoryview(d)[at:]
-        z.decompress(rest, 65536)
-        while not z.eof and z.unconsumed_tail:
-            z.decompress(z.unconsumed_tail, 65536)
+        while pos < end and not z.eof:
+            z.decompress(view[pos : min(pos + part, end)], part)
+            pos = min(pos + part, end)
+            while z.unconsumed_tail and not z.eof:
+                z.decompress(z.unconsumed_tail, part)
     except zlib.error:
         return 0
-    return len(rest) - len(z.unused_data) if z.eof else 0
+    return pos - len(z.unused_data) - at if z.eof else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(d):
+def _zip(d: bytes, at: int, end: int, marks: Marks) -> int:
+    mark = marks.after(b"PK\x05\x06", at, end)
+    if mark < 0 or mark + 22 > end:
         return 0
-    size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-    return end + 22 + note - at if at + offset + size == end and end + 22 + note <= len(d) else 0
+    size, offset, note = struct.unpack_from("<IIH", d, mark + 12)
+    return mark + 22 + note - at if at + offset + size == mark and mark + 22 + note <= end else 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else 0
+def _pdf(d: bytes, at: int, end: int, marks: Marks) -> int:
+    mark = marks.after(b"%%EOF", at, end)
+    return mark + 5 - at if mark >= 0 and marks.after(b"startxref", at, mark) >= 0 else 0
 
 
 VALID = {"wav": _wav, "png": _png, "bmp": _bmp, "pgm": _pgm, "gif": _gif, "jpeg": _jpeg, "gzip": _gzip, "zip": _zip, "pdf": _pdf}
@@ -223,26 +241,28 @@ def _automaton():
     return found
 
 
-def sniff(data: bytes | None) -> list[tuple[str, int, int]]:
-    """(kind, offset, length) of every valid medium, outermost: what lies inside a found one isn't looked at again."""
-    out, free = [], 0
-    for last, (kind, n) in _automaton().iter((data or b"").decode("latin-1")):
+def _found(data: bytes | None, nested: bool) -> list[tuple[str, int, int]]:
+    """One pass of the automaton: a hit is looked at within the innermost medium that is still open there; unless nested, only outside all."""
+    data = data or b""
+    out, open_, marks = [], [len(data)], Marks(data)  # the ends of the open media, the innermost last
+    for last, (kind, n) in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - n
-        if at >= free and (length := VALID[kind](data, at)):
+        while len(open_) > 1 and open_[-1] <= at:
+            open_.pop()
+        if (nested or len(open_) == 1) and (length := VALID[kind](data, at, open_[-1], marks)):
             out.append((kind, at, length))
-            free = at + length
+            open_.append(at + length)
     return out
 
 
-def within(data: bytes) -> list[tuple[str, int, int]]:
+def sniff(data: bytes | None) -> list[tuple[str, int, int]]:
+    """(kind, offset, length) of every valid medium, outermost: what lies inside a found one isn't looked at again."""
+    return _found(data, False)
+
+
+def within(data: bytes | None) -> list[tuple[str, int, int]]:
     """(kind, offset, length) of every valid medium and of what lies in its bytes, at any depth, by offset."""
-    out, open_ = [], [(0, len(data))]
-    while open_:
-        start, end = open_.pop()
-        for kind, at, n in sniff(data[start:end]):
-            out.append((kind, start + at, n))
-            open_.append((start + at + 1, start + at + n))
-    return sorted(out, key=lambda x: (x[1], -x[2]))
+    return _found(data, True)
 
 
 def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -42,7 +42,8 @@ WHOLE = {
     "private_key": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(.*?)(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|(?=-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)|\Z)", re.DOTALL),
     "forge": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # only where a run begins, so that a run is read once
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "bearer": re.compile(r"[Bb]earer\x20([A-Za-z0-9._~+/=-]{20,})"),
 }
 MUST_HOLD = {"access": "AKIA", "private_key": "PRIVATE KEY", "forge": "gh", "chat": "xox", "jwt": "eyJ", "bearer": "earer"}
