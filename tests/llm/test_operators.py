@@ -87,6 +87,65 @@ def test_warc(spark, folder):
         assert fields["WARC-Refers-To"] in source and body[: int(fields["Content-Length"])].decode() == r["block"] and body.endswith(b"\r\n\r\n")
 
 
+def test_warc_text_of_entities(spark, tmp_path):
+    pages = [(1, "u", "caf&#233; &#xE9;&#X1F600; &#0; &#xD800; &#99999999; &#; a&#160;b &amp;#65; &#38;lt; x &#"), (2, "u", "a < b <c> d <e f <g>h"), (3, "u", "<p" * 3 + ">x")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = {(i, k): b for i, k, b in con.execute(f"select page_id, record_type, block from ({ORACLE_SQL[NAMES['op2']]})").fetchall()}
+    got = {(r["page_id"], r["record_type"]): r["block"] for r in result(spark, "op2", str(tmp_path))}
+    assert got == want
+    assert got[1, "conversion"] == "café é😀 &#0; &#xD800; &#99999999; &#; a b &#65; < x &#" and got[2, "conversion"] == "a < b d <e f h"
+
+
+def test_warc_files(spark, tmp_path):
+    """Responses of files keep their ids, headers and digests; what is written is read again."""
+    import gzip
+    import hashlib
+
+    def record(kind, name, block):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nWARC-Target-URI: http://x/{name}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = lambda body: b"HTTP/1.1 200 OK\r\nServer: s/1\r\n\r\n" + body
+    records = [record("warcinfo", "i", b"software: y\r\n"), record("response", "a", http("<p>é</p>".encode())), record("request", "q", b"GET /"), record("response", "b", http(b""))]
+    (tmp_path / "w1.warc").write_bytes(b"".join(records))
+    (tmp_path / "w2.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    source = warc.read(spark, f"{tmp_path}/*.warc*")
+    out = warc.derivatives(source).collect()
+    assert len(out) == 8 and Counter(r["refers_to"] for r in out) == {"a": 4, "b": 4}
+    first = next(r for r in out if r["refers_to"] == "a" and r["record_type"] == "metadata")
+    assert "http-header: Server: s/1\r\n" in first["block"] and first["source_digest"] == "sha256:" + hashlib.sha256("<p>é</p>".encode()).hexdigest()
+    assert {r["block"] for r in out if r["refers_to"] == "a" and r["record_type"] == "conversion"} == {"é"}
+
+
+@pytest.mark.parametrize("unit", ["<", "<p ", "<script ", "<!--", "&#", " \n", "<title "])
+def test_long_pages_take_seconds(spark, unit):
+    import time
+
+    began = time.time()
+    page = spark.createDataFrame([(1, "u", unit * (1_000_000 // len(unit)))], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses(page)).selectExpr("sum(length(block))").first()[0] is not None
+    assert time.time() - began < 30
+
+
+def test_long_texts_full_of_matches_take_seconds(spark):
+    import time
+
+    for unit in ("eyJ", "eyJaaaaaaaaa.", "AKIA", "password=", "password ", "-----BEGIN PRIVATE KEY-----", "ghp_", "Bearer x "):
+        began = time.time()
+        secrets.candidates(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 5, unit
+    for unit, end in ((b"%PDF-", b""), (b"%PDF-", b"startxref%%EOF"), (b"PK\x03\x04", b""), (b"P5 1 1 9 x", b""), (b"RIFF", b""), (b"BM", b""), (b"GIF89a", b"")):
+        began = time.time()
+        media.within(unit * (1_000_000 // len(unit)) + end)
+        assert time.time() - began < 5, unit
+    for unit in ("a@b.cc 123-45-6789 ", "1.2.3.4 ", "+1 2345678 ", "1", "1 ", "a@", "a@b", "Mr Xu ", "+1"):
+        began = time.time()
+        docs = spark.createDataFrame([(1, unit * (1_000_000 // len(unit)))], "doc_id long, text string")
+        spans = pii.detect(docs).selectExpr("size(base) + size(added)").first()[0]
+        assert time.time() - began < 60 and (spans > 50_000 or unit not in ("a@b.cc 123-45-6789 ", "1.2.3.4 ", "+1 2345678 ")), unit
+
+
 def test_packing(spark, folder, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
