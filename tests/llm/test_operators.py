@@ -203,13 +203,58 @@ def test_pii(spark, folder, rows):
 
 
 def test_reliabilities_find_the_better_labeler():
-    votes = [("email", (1, 1, 1, 0, 1), 80), ("email", (1, -1, 0, -1, -1), 15), ("email", (-1, -1, 0, 0, -1), 60), ("email", (1, 1, 0, 0, -1), 10)]
+    none = (1, 0)
+    votes = [("email", (1, 1, 1, 1), none, 80), ("email", (1, -1, -1, -1), none, 15), ("email", (-1, -1, 0, -1), none, 60), ("email", (1, 1, 0, -1), none, 10)]
     rate, post = pii.reliabilities(votes)
     assert post[0] > 0.9 and post[2] < 0.1 and rate[1, 1][1] > rate[1, 0][1]
     weights = pii.train(votes, post)
     assert weights["gazetteer", 1] > weights["gazetteer", -1]
 
 
+def test_reliabilities_recover_labelers_of_known_accuracy():
+    """Votes drawn at known rates, one labeler often silent: the estimates come near, and the posteriors tell true from false."""
+    rng = np.random.default_rng(7)
+    truth = rng.random(20_000) < 0.4
+    right, speaks = (0.95, 0.8, 0.9, 0.7), (1.0, 0.9, 0.3, 1.0)
+    votes = [tuple(int(v) for v in row) for row in np.stack([np.where(rng.random(len(truth)) < s, np.where((rng.random(len(truth)) < r) == truth, 1, -1), 0) for r, s in zip(right, speaks, strict=True)], 1)]
+    tally = Counter(votes)
+    rate, post = pii.reliabilities([("k", v, (0, 0), n) for v, n in sorted(tally.items())])
+    assert all(abs(rate[j, 1][1] - r) < 0.03 and abs(rate[j, 0][-1] - r) < 0.03 for j, r in enumerate(right))
+    p = dict(zip(sorted(tally), post, strict=True))
+    assert np.mean([(p[v] > 0.5) == t for v, t in zip(votes, truth, strict=True)]) > 0.94
+
+
+@pytest.mark.parametrize("many", [0, 300])
+def test_added_spans_follow_their_context(spark, many):
+    """Alone and among many base spans: a number of the social insurance and an IBAN are found, a version isn't, and what meets a base span goes."""
+    texts = [f"mail person{i}@mail{i % 7}.com or call +49 171 555{i:04d} from 10.0.{i % 200}.7" for i in range(many)]
+    cases = ["her social security ssn 123-45-6789 is here", "see version 123-45-6789 of it", "pay to account DE89 3704 0044 0532 0130 00 now", "write anna [at] example [dot] com", "ask Frau Anna Berg today", "a@b.de12-34"]
+    docs = spark.createDataFrame(list(enumerate(cases + texts)), "doc_id long, text string")
+    out = {r["doc_id"]: [s["kind"] for s in r["added"]] for r in pii.detect(docs).collect()}
+    assert [out[i] for i in range(len(cases))] == [["ssn"], [], ["iban"], ["spelled_email"], ["person"], []]
+
+
+def test_base_spans_stand_before_added_ones(spark):
+    """As trying all pairs says, over texts of many overlapping spans."""
+    import random
+
+    rng = random.Random(4)
+    bits = ["a@b.cc", "Frau Anna", "x@y.zz[at]q.de", "123-45-6789", "+49 171 5550123", "1.2.3.4", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "Dr Xu", "-", "@", " ", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice((5, 40, 900)))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = docs.select("doc_id", *[pii.F.expr(pii._found(k)).alias(k) for k in pii.KINDS]).collect()
+    got = {r["doc_id"]: r["spans"] for r in pii.proposed(docs).collect()}
+    met = 0
+    for r in every:
+        text, spans = texts[r["doc_id"]], got[r["doc_id"]]
+        assert all(text[s["start"] : s["end"]] == s["value"] for k in pii.KINDS for s in r[k])
+        base = [(s["start"], s["end"]) for s in spans if s["rank"] < len(pii.BASE_KINDS) and s["sound"]]
+        want = [(k, s["start"]) for k in pii.ADDED_KINDS for s in r[k] if not any(a < s["end"] and s["start"] < b for a, b in base)]
+        assert [(s["kind"], s["start"]) for s in spans if s["rank"] >= len(pii.BASE_KINDS)] == want
+        met += sum(len(r[k]) for k in pii.ADDED_KINDS) - len(want)
+    assert met > 10
+
+
 def test_simhash(spark, folder, rows):
     import hashlib
 
