@@ -491,7 +491,44 @@ def test_signatures_estimate_similarity():
     pool = rng.integers(0, 1 << 63, 900).astype(np.uint64)
     for share in (0, 300, 600, 900):
         a, b = pool[:900], np.concatenate([pool[:share], rng.integers(0, 1 << 63, 900 - share).astype(np.uint64)])
-        s = dedup.signatures(np.concatenate([a, b]), np.repeat([0, 1], 900), 2, 1000)
+        s = dedup.signatures(np.concatenate([a, b]), None, np.repeat([0, 1], 900), 2, 1000)
         assert abs((s[0] == s[1]).mean() - share / (1800 - share)) < 0.06
-    one = dedup.signatures(pool[:1], np.array([0]), 1)
+    one = dedup.signatures(pool[:1], None, np.array([0]), 1)
     assert (one != 0).all()
+
+
+@pytest.mark.parametrize("scale", [0.3, 1.0, 40.0, 5000.0])
+def test_signatures_estimate_weighted_similarity(scale):
+    """Weights of any size, not only whole ones; weights of 1 are the plain set."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    x, y = rng.exponential(scale, 60) + 1e-6, rng.exponential(scale, 60) + 1e-6
+    y[:30] = x[:30]
+    want = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+    s = dedup.signatures(np.concatenate([pool, pool]), np.concatenate([x, y]), np.repeat([0, 1], 60), 2, 2000)
+    assert abs((s[0] == s[1]).mean() - want) < 0.05 and (s != 0).all()
+    ones = dedup.signatures(pool, np.ones(60), np.zeros(60, int), 1)
+    assert (ones == dedup.signatures(pool, None, np.zeros(60, int), 1)).all()
+
+
+def test_recall_of_near_copies_by_similarity(spark):
+    """Pairs by their similarity: all at 0.8 and more are one class, none below; also pairs that are alike as sets only."""
+    texts, want = [], []
+    for i in range(400):
+        base = brute.prose(20_000 + i, (40, 120, 400)[i % 3])
+        other = brute.edit(base, (30, 45, 60, 90)[i // 3 % 4], i)
+        if i % 5 == 0:
+            line = " " + brute.prose(60_000 + i, 10)
+            base, other = base + line * 40, other + line * 3
+        a, b = brute.shingles(base), brute.shingles(other)
+        both = sum((a & b).values())
+        want.append(max(both / (sum(a.values()) + sum(b.values()) - both), len(a.keys() & b.keys()) / len(a.keys() | b.keys())) >= 0.8)
+        texts += [base, other]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_classes(docs).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(400)] == want and 100 < sum(want) < 350
+
+
+def test_one_row_of_a_class_is_first(spark, folder, rows):
+    first = [r["class_id"] for r in result(spark, "op10", folder) if r["is_first"]]
+    assert len(first) == len(set(first)) == len(set(brute.near_classes([r[1] for r in rows])))
