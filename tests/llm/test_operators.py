@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from weft.llm import dedup, language, licenses, media, packing, pii, secrets, simhash, warc
+from weft.llm import dedup, language, licenses, media, mixing, packing, pii, secrets, simhash, warc
 from weft.llm.queries import ORACLE_SQL, QUERIES
 
 NAMES = {n.split("_")[0]: n for n in QUERIES}
@@ -422,6 +422,47 @@ def test_mixing(spark, folder, rows):
     assert first == second
 
 
+def test_mixing_takes_by_the_keys(spark):
+    """Epochs and then the documents in order of their keys, as a loop over each source does; a hot source, repeated rows and null ids among them."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, brute.prose(i, rng.randrange(0, 60)), rng.choice(("a", "a", "a", "b", "c", None)), 1.0 + i % 3) for i in range(600)]
+    rows += [(None, brute.prose(900 + i, 20), "a", 1.0) for i in range(30)] + [rows[5]] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    keys = {(r["doc_id"], r["text"]): r["key"] for r in docs.select("doc_id", "text", mixing.exponential_key(mixing.F.col("q")).alias("key")).collect()}
+    sizes = Counter()
+    for _, text, source, _ in rows:
+        sizes[source] += brute.size(text)
+    goal, want = brute.targets(sizes), Counter()
+    for source, target in goal.items():
+        full = int(target // sizes[source])
+        left = round(target - full * sizes[source])
+        own = sorted((keys[i, t], (i is not None, i or 0), brute.size(t)) for i, t, s, _ in rows if s == source)
+        for key, i, size in own:
+            want[source, key] += full * size + min(left, size)
+            left -= min(left, size)
+    got = Counter()
+    for r in mixing.mix(docs, weight=mixing.F.col("q")).collect():
+        got[r["source"], r["key"]] += r["taken"]
+    assert got == want and len({s for s, _ in want}) == 4
+
+
+def test_mixed_holds_what_the_plan_takes(spark):
+    rows = [(i, f"  w{i}\tx\n\nyy {brute.prose(i, i % 30)} ", "en", f"s{i % 4}", 5) for i in range(200)] + [(7, brute.prose(77, 9), "en", "s0", 5)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan, words = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r["doc_id"]] += r["taken"]
+    texts = defaultdict(set)
+    for i, t, *_ in rows:
+        texts[i].add(t)
+    for r in mixing.mixed(docs).collect():
+        words[r["doc_id"]] += brute.size(r["text"])
+        assert any(t == r["text"] or (t.startswith(r["text"]) and r["n_chars"] == len(r["text"])) for t in texts[r["doc_id"]])
+    assert words == +plan
+
+
 def test_licenses(spark, folder, rows):
     for text, _, r in by_doc(spark, "op9", folder, rows):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute.licenses(text)

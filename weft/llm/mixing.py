@@ -4,24 +4,20 @@ Each source's target is a number of words. Complete epochs come first; the rest
 filled by sampling without replacement: a document's exponential key is -ln(u) / quality, and the
 documents are taken in the order of the keys until the target's words are reached; the last one
 gives only the words that are missing. The keys' order is cut into buckets: sums of buckets, prefixed
-by source, tell which bucket holds the end, and only that bucket's rows are ordered one by one,
-so a source of any size is spread over the tasks.
+by source, tell which bucket holds the end, and only that bucket's rows are ordered one by one. Rows meet
+the plan by source and bucket, so a source of any size is spread over the tasks. Over all sources at once goes a row a source only.
 
-Defined cases: null or empty texts have size 0 and nothing is taken; a null source is a source of its own, the
-last; repeated rows are documents of their own; equal keys go by doc_id, then size; empty tables give
-empty results. Extra columns are ignored. Reruns agree, as u is a hash of doc_id.
+Defined cases: null or empty texts have size 0 and nothing is taken; a text of any length is worked on whole; a null source is a source of its own, the
+last; repeated rows are documents of their own, taken one after another; equal keys go by doc_id, then size; empty tables give
+empty results. Extra columns, whatever their names, are ignored. Reruns agree, as u is a hash of doc_id and text.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_pandas, pick, settle, table
+from .common import pick, settle, table
 
 #: Buckets of a source's key order in each doubling of the key: by its scale no bucket holds over 0.1 % of exponential keys, whatever the weights.
 PER_OCTAVE = 512
@@ -56,27 +52,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     return levels.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
+def exponential_key(weight: Column) -> Column:
+    """-ln(u) / weight, u a hash of doc_id and text."""
+    u = (F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(u) / weight
+
+
 def mix(docs: DataFrame, *, weight: Column | None = None, share: float = 1.5, epochs: float = 2.0, per_octave: int = PER_OCTAVE) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken. weight: a quality above 0, of the text unless given."""
+    """One row a document: doc_id, source, size, key, source_size, target, taken. weight: a quality above 0, of the text unless given."""
     docs = pick(docs, "doc_id", "source", "text") if weight is None else docs
-    u = (F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = -F.log(u) / (quality(F.col("text")) if weight is None else weight)
+    key = exponential_key(quality(F.col("text")) if weight is None else weight)
     sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key")).withColumn("bucket", F.floor(F.log2("key") * per_octave).cast("int")), "sized")
-    parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    parts = settle(sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "buckets")
     goal = targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), share=share, epochs=epochs)
     goal = goal.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long"))
-    # the bucket in which the budget ends, and what comes before it
+    # of each bucket what its rows may take in all: the whole of it, some of it where the budget ends, or nothing
     line = parts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n"))
     a, b = goal.alias("a"), line.alias("b")
-    ends = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("b.before") < F.col("a.budget")), "left")
-    ends = ends.groupBy(F.col("a.source").alias("s"), "a.source_size", "a.target", "a.full", "a.budget").agg(F.max("b.bucket").alias("end"), F.max_by("b.before", "b.bucket").alias("before"))
-    joined = sized.join(ends, sized["source"].eqNullSafe(ends["s"]))
-    at_end = F.col("bucket") == F.col("end")
-    edge = joined.where(F.coalesce(at_end, F.lit(False)))
-    edge = edge.withColumn("room", F.col("budget") - F.col("before") - F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = edge.withColumn("part", F.greatest(F.lit(0), F.least("room", "size")))
-    whole = joined.where(~F.coalesce(at_end, F.lit(False))).withColumn("part", F.when(F.col("bucket") < F.col("end"), F.col("size")).otherwise(F.lit(0)))
-    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).cast("long").alias("taken")]
+    plan = settle(b.join(a, F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("b.source").alias("s"), F.col("b.bucket").alias("at"), "n", "source_size", "target", "full", (F.col("budget") - F.col("before")).alias("room")), "plan")
+    joined = sized.join(plan, sized["source"].eqNullSafe(plan["s"]) & (F.col("bucket") == F.col("at")))
+    ends = (F.col("room") > 0) & (F.col("room") < F.col("n"))
+    upto = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = joined.where(ends).withColumn("room", F.col("room") - F.coalesce(F.sum("size").over(upto), F.lit(0))).withColumn("part", F.greatest(F.lit(0), F.least("room", "size")))
+    whole = joined.where(~ends).withColumn("part", F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0)))
+    columns = ["doc_id", "source", "size", "key", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).cast("long").alias("taken")]
     return whole.select(*columns).unionAll(edge.select(*columns))
 
 
@@ -84,28 +83,19 @@ def op8_efraimidis_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _repeat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    word = re.compile("[^\x20\x09-\x0d]+")
-    for batch in batches:
-        rows = []
-        taken, size = batch.pop("taken"), batch.pop("size")
-        for i, (n, all_words) in enumerate(zip(taken, size, strict=True)):
-            row = batch.iloc[i].to_dict()
-            while n > 0:
-                if n < all_words:  # the words that the target still lacks
-                    end = [m.end() for _, m in zip(range(int(n)), word.finditer(row["text"]), strict=False)][-1]
-                    row = row | {"text": row["text"][:end], "n_chars": str(end)}
-                rows.append(row)
-                n -= all_words
-        yield pd.DataFrame(rows, columns=batch.columns, dtype=object)
-
-
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs (the columns of documents), each as often as the mix takes it: once a complete epoch, and its sampled words. What isn't taken goes."""
+    """docs (the columns of documents), each as often as the mix takes it: once a complete epoch, and its sampled words. What isn't taken goes; n_chars follows a text that is cut."""
     docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    plan = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("size").alias("size")).agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    # repeated rows share their copies out evenly
-    plan = plan.withColumn("taken", F.ceil(F.col("taken") / F.col("rows")).cast("long")).drop("rows")
-    sized = docs.withColumn("n_words", words(F.col("text")))
-    both = sized.join(plan, sized["doc_id"].eqNullSafe(plan["id"]) & sized["source"].eqNullSafe(plan["s"]) & (F.col("n_words") == F.col("size"))).drop("id", "s", "n_words")
-    return map_pandas(both, _repeat, "doc_id long, text string, lang string, source string, n_chars long", "doc_id", "n_chars")
+    plan = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("key").alias("k")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    keyed = docs.withColumn("key", exponential_key(quality(F.col("text"))))
+    both = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["id"]) & keyed["source"].eqNullSafe(plan["s"]) & (F.col("key") == F.col("k")))
+    # repeated rows share what they take
+    place = F.row_number().over(Window.partitionBy("id", "s", "k").orderBy("lang", "n_chars"))
+    shared = both.where("rows > 1").withColumn("taken", F.floor(F.col("taken") / F.col("rows")) + (place <= F.col("taken") % F.col("rows")).cast("long"))
+    taken = both.where("rows = 1").unionAll(shared).where("taken > 0")
+    copies = taken.withColumn("words", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))))
+    # the words that the target still lacks, as they stand
+    begun = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    cut = F.col("words") < F.col("size")
+    text = F.when(cut, begun).otherwise(F.col("text"))
+    return copies.select("doc_id", text.alias("text"), "lang", "source", F.when(cut, F.length(begun).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
