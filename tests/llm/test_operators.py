@@ -276,6 +276,22 @@ def test_simhash(spark, folder, rows):
     assert out[15][0]["near_next"] == 1.0  # its next document is its copy
 
 
+def test_next_documents_over_many_ranges(spark, monkeypatch):
+    """As sorting says: ranges of few rows, repeated ids, ids far apart, and a first id that the sample lacks."""
+    import random
+
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 20)
+    monkeypatch.setattr(simhash, "SAMPLED", 4)
+    rng = random.Random(8)
+    rows = [(rng.choice((rng.randrange(900), rng.randrange(1 << 40))), f"t{i}") for i in range(2000)]
+    for n in (1, 2, 30, 2000):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(3)
+        assert n < 100 or len(simhash._range_bounds(docs.select("doc_id"))) > 40
+        out = simhash.with_next(docs).where("not ghost").collect()
+        ordered = sorted(rows[:n])
+        assert sorted((r["doc_id"], r["text"], r["next_text"]) for r in out) == sorted((i, t, ordered[(k + 1) % n][1]) for k, (i, t) in enumerate(ordered))
+
+
 def test_near_links_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     seeds = [int(x) for x in rng.integers(0, 1 << 62, 30)]

@@ -13,8 +13,8 @@ earliest of exponential times, the faster the heavier the term. What meets is st
 bucket's fingerprints are compared in arrays of at most MEMBERS and only counted, so a large group of near copies makes no row a pair.
 
 Defined cases: null text is empty; a text of fewer than five words is one term, a text without
-words has the fingerprint 0; null doc_ids come first; rows of one doc_id follow each other by text;
-a lone row is its own next document; empty tables give empty results. Extra columns are ignored.
+words has the fingerprint 0; a bit whose votes tie is 0; a text of any length is worked on whole, its terms in chunks; null doc_ids come first; rows of one doc_id follow each other by text,
+equal ones in any order, as their results are equal; a lone row is its own next document; empty tables give empty results. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ TERM = (1 << 24) - 1
 MEMBERS = 512
 #: The label of repeated terms among those of the texts.
 REPEATED = -1
-#: Documents in a range of ids, about.
-RANGE_ROWS = 500
+#: Documents in a range of ids, about, as long as there are no more than MOST_RANGES; beyond, ranges grow (1.5 GB of text each at 100 TB, sorted with spill).
+RANGE_ROWS, MOST_RANGES, SAMPLED = 500, 1 << 16, 16
 
 
 def terms(text: Column) -> Column:
@@ -59,34 +59,43 @@ def terms(text: Column) -> Column:
     return F.transform(F.array(hashes), shingles)[0]
 
 
-def _range_bounds(ids: DataFrame, ranges: int) -> list[int]:
-    """The least id of each range, at most `ranges` numbers."""
-    dealt = ids.where("doc_id is not null").repartitionByRange(ranges, "doc_id")
-    return sorted(r["lo"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("lo")).collect())
+def _range_bounds(ids: DataFrame) -> list[int]:
+    """The least id of each range: the least of all, then every SAMPLED-th of a sample by hash of the ids, which holds about SAMPLED * MOST_RANGES of them at most."""
+    n, least = ids.agg(F.count("*"), F.min("doc_id")).first()
+    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    if least is None:
+        return []
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("range")), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLED * ranges / max(1, n)) * (1 << 30)))
+    sample = ids.where(drawn).agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).first()["ids"]
+    return sorted({least, *(sample[SAMPLED::SAMPLED] if ranges > 1 else [])})
+
+
+def _numbers(values: list[int]) -> Column:
+    """An array of constants, made at once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _range_of(bounds: list[int], doc_id: Column) -> Column:
     """Index of the last bound that isn't above doc_id, by bisection; 0 for null."""
     if len(bounds) < 2:
         return F.lit(0)
-    array = F.array(*map(F.lit, bounds))
+    array = _numbers(bounds)
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
     return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step) <= doc_id, at + step).otherwise(at)), F.lit(0))
 
 
-def with_next(docs: DataFrame, most_ranges: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame) -> DataFrame:
     """range, place, ghost, doc_id, text, next_text: the next document's text in order of doc_id, after the last the first's.
 
     The documents are dealt to ranges of ids once. The first of a range also goes, as a ghost, to the end of the range before.
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    ids = docs.select("doc_id")
-    bounds = _range_bounds(ids, max(1, min(most_ranges, ids.count() // RANGE_ROWS)))
+    bounds = _range_bounds(docs.select("doc_id"))
     n, at = max(1, len(bounds)), _range_of(bounds, F.col("doc_id"))
     here = F.struct(F.col("r").alias("range"), F.lit(False).alias("ghost"))
     before = F.struct(F.pmod(F.col("r") - 1, F.lit(n)).alias("range"), F.lit(True).alias("ghost"))
     # null ids, if any, come first of all, so that the first range may begin with them or with its bound
-    first = F.get(F.array(*map(F.lit, bounds)), F.col("r")) == F.col("doc_id") if bounds else F.lit(True)
+    first = F.get(_numbers(bounds), F.col("r")) == F.col("doc_id") if bounds else F.lit(True)
     dealt = docs.withColumn("r", at).withColumn("to", F.explode(F.when(F.coalesce(first, F.lit(True)), F.array(here, before)).otherwise(F.array(here))))
     order = Window.partitionBy("range").orderBy("ghost", F.asc_nulls_first("doc_id"), "text")
     return dealt.select("to.range", "to.ghost", "doc_id", "text").withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
@@ -249,6 +258,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     degree = both.join(p, ["b_hi", "b_lo"]).groupBy(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).agg(F.count("*").alias("n_links"), F.sum("b_n").alias("more"))
     degree = degree.unionAll(band_links(prints)).groupBy("hi", "lo").agg(F.sum("n_links").alias("n_links"), F.sum("more").alias("more"))
     classes = prints.join(degree, ["hi", "lo"], "left").select(F.col("hi").alias("fp_hi"), F.col("lo").alias("fp_lo"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
+    classes = settle(classes, "degrees")  # a table on either side of the join, so that it can split a hot fingerprint
     like = lambda other: 1 - distance(F.col("fp_hi"), F.col("fp_lo"), F.col(f"{other}_hi"), F.col(f"{other}_lo")) / float(BITS)
     return found.join(classes, ["fp_hi", "fp_lo"]).select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("ed").alias("edited_fingerprint"), like("ed").alias("near_edited"), like("next").alias("near_next"), "class_id", "n_links", "n_near"
