@@ -1,6 +1,8 @@
 """Plain versions of what the operators must return."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -74,6 +76,44 @@ def licenses(text):
     return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def trigrams(text, buckets):
+    """Counts by bucket, a character at a time."""
+    out, kept = Counter(), " "
+    for c in text.lower():
+        c = c if "a" <= c <= "z" or c >= "\x80" else " "
+        kept += "" if c == " " and kept[-1] == " " and len(kept) > 1 else c
+    kept += " "
+    for i in range(len(kept) - 2):
+        x, y, z = map(ord, kept[i : i + 3])
+        h = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) % 2**64
+        h ^= h >> 15
+        out[(h * 0x2C1B3C6D % 2**64 >> 12) % buckets] += 1
+    return out
+
+
+def languages(text, langs, logp):
+    """[(language, proportion)] of the best of all sets of languages, fitted long."""
+    if text is None or not any(c.isalpha() for c in text) or not langs:
+        return []
+    counts = trigrams(text, len(logp))
+    total, best = sum(counts.values()), None
+    rows = [(n, [math.exp(x) for x in logp[b]]) for b, n in counts.items()]
+    for size in range(1, len(langs) + 1):
+        for some in itertools.combinations(range(len(langs)), size):
+            share = [1 / size] * size
+            for _ in range(60 if size > 1 else 0):
+                sums = [0.0] * size
+                for n, p in rows:
+                    parts = [s * p[i] for s, i in zip(share, some, strict=True)]
+                    for k, q in enumerate(parts):
+                        sums[k] += n * q / sum(parts)
+                share = [x / total for x in sums]
+            value = sum(n * math.log(sum(s * p[i] for s, i in zip(share, some, strict=True))) for n, p in rows) - (size - 1) * (0.5 * math.log(total + 1) + 1)
+            if best is None or value > best[0]:
+                best = value, sorted(((langs[i], s) for s, i in zip(share, some, strict=True)), key=lambda x: (-x[1], x[0]))
+    return best[1]
+
+
 def license_labels(text, templates, k=3, neighbours=4, least=0.6, stretch=1.5):
     """Labels of the templates of which a chain of runs, ascending in the text and in the template, is found; every chain is tried."""
     w, out = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), set()

@@ -364,6 +364,36 @@ def test_language_mixture_finds_both():
     assert language.infer("123 ...", langs, logp) == []
 
 
+def test_language_against_all_sets_of_languages(spark):
+    """On texts of one to three languages: the same prediction, and nearly always the same set, as fitting every set long."""
+    import random
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(5)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, logp = language.learn(docs.select("doc_id", "text", "lang"), ~language.is_held_out())
+    by_lang = defaultdict(list)
+    for r in docs.where("lang is not null and length(text) > 200").collect():
+        by_lang[r["lang"]].append(r["text"])
+    texts = [None, "", "12 3", "a", *[rng.choice(by_lang[x])[:300] for x in langs for _ in range(8)]]
+    for _ in range(24):
+        texts.append(" ".join(rng.choice(by_lang[x])[: rng.randrange(20, 200)] for x in rng.sample(langs, rng.choice((2, 3)))))
+    same = []
+    for text in texts:
+        got, want = language.infer(text, langs, logp), brute.languages(text, langs, logp)
+        assert [x for x, _ in got][:1] == [x for x, _ in want][:1], text
+        same.append({x for x, _ in got} == {x for x, _ in want} and all(abs(p - dict(want)[x]) < 0.05 for x, p in got))
+    assert len(langs) > 2 and np.mean(same) > 0.9
+
+
+def test_a_small_share_of_a_long_text_is_seen():
+    """5,000 trigrams of one language and 120 of another, each 100 times likelier in its own."""
+    buckets = [language.grams(f" {x}x ")[1] for x in "ab"]
+    logp = np.full((language.BUCKETS, 2), np.log(1e-4))
+    logp[buckets[0], 1] = logp[buckets[1], 0] = np.log(1e-6)
+    found = language.infer(" ax" * 5000 + " bx" * 120, ["aa", "bb"], logp)
+    assert [x for x, _ in found] == ["aa", "bb"] and 0.01 < found[1][1] < 0.05
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -453,7 +483,7 @@ def test_mixing_takes_by_the_keys(spark):
     goal, want = brute.targets(sizes), Counter()
     for source, target in goal.items():
         full = int(target // sizes[source])
-        left = round(target - full * sizes[source])
+        left = int(target - full * sizes[source] + 0.5)
         own = sorted((keys[i, t], (i is not None, i or 0), brute.size(t)) for i, t, s, _ in rows if s == source)
         for key, i, size in own:
             want[source, key] += full * size + min(left, size)

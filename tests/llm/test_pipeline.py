@@ -1,11 +1,13 @@
 """Each stage on its own input, and run() against the stages one after another."""
 
+import re
 from collections import Counter
 
 import brute
 import corpus_pipeline as cp
+from conftest import SCHEMA
 
-from weft.llm import mixing, secrets
+from weft.llm import language, mixing, secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 S = dict(cp.STAGES)
@@ -46,6 +48,69 @@ def test_run(spark, folder, empty):
     assert cp.run(spark, empty).count() == 0
 
 
+def plain_run(spark, rows):
+    """(doc_id, token ids) of every document that the pipeline packs, stage by stage without Spark; the language model and the hashes of the sampling keys are the operators' own."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame(rows, SCHEMA)
+    langs, logp = language.learn(docs.select("doc_id", "text", "lang"), ~language.is_held_out())
+    rows = [r for r in rows if (found := brute.languages(r[1] and r[1][:4000], langs, logp)) and found[0][1] >= 0.5]
+    # one row of a class: the least doc_id, then the earliest text met
+    best = {}
+    for root, r in zip(brute.near_classes([r[1] for r in rows]), rows, strict=True):
+        if root not in best or (r[0] is None, r[0] or 0) < (best[root][0] is None, best[root][0] or 0):
+            best[root] = r
+    rows = list(best.values())
+    # live: at most two owners, no placeholder, 2.5 bits a character
+    owners = {}
+    for _, text, _, source, _ in rows:
+        for *_, value in secrets.candidates(text):
+            owners.setdefault(value, set()).add(source)
+    clean = []
+    for i, text, lang, source, n in rows:
+        at, parts = 0, []
+        for kind, start, end, value in secrets.candidates(text):
+            hidden = (secrets.KEY_PLACEHOLDER if kind == "private_key" else secrets.PLACEHOLDER).search(value)
+            if end > at and len(owners[value]) <= 2 and not hidden and secrets.entropy(value) >= 2.5:
+                parts += [text[at:start], "<secret>"] if start >= at else []
+                at = end
+        clean.append((i, "".join([*parts, text[at:]]), lang, source, n))
+    keyed = spark.createDataFrame(clean, SCHEMA).withColumn("key", mixing.exponential_key(mixing.quality(mixing.F.col("text")))).collect()
+    sizes = Counter()
+    for r in keyed:
+        sizes[r["source"]] += brute.size(r["text"])
+    out = []
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for source, target in brute.targets(sizes).items():
+        full = int(target // sizes[source])
+        left = int(target - full * sizes[source] + 0.5)
+        for r in sorted((r for r in keyed if r["source"] == source), key=lambda r: r["key"]):
+            size = brute.size(r["text"])
+            part = min(left, size)
+            left -= part
+            texts = [r["text"]] * (full + (part == size and size > 0))
+            if 0 < part < size:
+                ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", r["text"])]
+                texts.append(r["text"][: ends[part - 1]])
+            out += [(r["doc_id"], hashlib.md5(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()).hexdigest(), len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for t in texts]
+    return out
+
+
+def test_run_against_a_plain_version(spark, folder, rows):
+    """The same documents as often, with as many tokens each; the pieces of each tile it."""
+    want = plain_run(spark, rows)
+    got, tokens = Counter(), Counter()
+    for r in cp.run(spark, folder).collect():
+        got[r["doc_id"], r["doc_tokens"]] += r["start"] == 0
+        tokens[r["doc_id"]] += r["length"]
+    assert got == Counter((i, n) for i, _, n in want) and len(want) > 50
+    assert tokens == Counter({i: sum(n for j, _, n in want if j == i) for i in {i for i, *_ in want}})
+
+
 def test_live_secrets_have_few_owners(spark, folder):
     found = secrets.ownership_scan(spark.read.parquet(f"{folder}/documents.parquet")).selectExpr("explode(spans) AS s").where("s.live").selectExpr("max(s.n_owners)").first()[0]
     assert found <= 2

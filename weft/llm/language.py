@@ -3,10 +3,12 @@
 A model holds the log-probability of each hashed character trigram in each language. A document is a
 mixture: expectation-maximisation estimates the languages' proportions from its trigram counts, first
 of each language alone, then with one more language at a time for as long as the likelihood, penalised
-by half the log of the trigram count for each language, rises. The largest proportion is the prediction and the score.
+by half the log of the trigram count for each language, rises. Each further language is judged at its best of some shares, so that a small part
+of a long text is seen too. The largest proportion is the prediction and the score.
 
 Defined cases: null text, or text without a letter, is "und" with score 0, as are all documents if nothing
-could be learned; empty tables give empty results; repeated rows get one row each. Extra columns are ignored.
+could be learned; a text of any length is worked on whole; equal proportions go by the language's name; empty tables give empty results;
+repeated rows get one row each. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ BUCKETS = 1 << 15
 #: The training sample's bound: about so many documents of each language, chosen by hash.
 SAMPLE_PER_LANGUAGE = 1500
 UNKNOWN = "und"
+#: Shares at which a further language is judged.
+SHARES = (0.3, 0.1, 0.03, 0.01, 0.003)
 
 
 def has_letter(text: str | None) -> bool:
@@ -74,12 +78,12 @@ def learn(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE_PER_LAN
     return langs, np.log(table / table.sum(0))
 
 
-def mixture(n: np.ndarray, logp: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Proportions and log-likelihood by expectation-maximisation; n counts, logp [trigrams, languages]."""
+def mixture(n: np.ndarray, logp: np.ndarray, start: np.ndarray | None = None, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Proportions and log-likelihood by expectation-maximisation from the proportions `start`; n counts, logp [trigrams, languages]."""
     k = logp.shape[1]
     top = logp.max(1)
     p = np.exp(logp - top[:, None])
-    total, share = n.sum(), np.full(k, 1 / k)
+    total, share = n.sum(), np.full(k, 1 / k) if start is None else start
     for _ in range(rounds if k > 1 else 0):
         share = share * ((n / (p @ share)) @ p) / total
     return share, float(n @ (np.log(p @ share) + top))
@@ -98,15 +102,21 @@ def infer(text: str | None, langs: list[str], logp: np.ndarray) -> list[tuple[st
     chosen, share, best = [int(alone.argmax())], np.ones(1), float(alone.max())
     while len(chosen) < len(langs):
         rest = [i for i in range(len(langs)) if i not in chosen]
-        now = np.exp(rows[:, chosen] - rows.max(1)[:, None]) @ share  # what the chosen explain, against the best of all
-        gain = [float(n @ np.log1p(0.05 * (np.exp(rows[:, i] - rows.max(1)) / np.maximum(now, 1e-30) - 1))) for i in rest]
-        if max(gain) <= penalty / 4:
+        top = rows.max(1)
+        now = np.exp(rows[:, chosen] - top[:, None]) @ share  # what the chosen explain, against the best of all
+        ratio = np.exp(rows[:, rest] - top[:, None]) / np.maximum(now, 1e-30)[:, None] - 1
+        gains = np.stack([n @ np.log1p(x * ratio) for x in SHARES])
+        taken = False
+        for at in np.argsort(-gains.max(0)):
+            if gains[:, at].max() <= penalty / 4:
+                break
+            tried, x = [*chosen, rest[at]], SHARES[int(gains[:, at].argmax())]
+            new, value = mixture(n, rows[:, tried], np.append(share * (1 - x), x))
+            if value - best > penalty:
+                chosen, share, best, taken = tried, new, value, True
+                break
+        if not taken:
             break
-        tried = [*chosen, rest[int(np.argmax(gain))]]
-        new, value = mixture(n, rows[:, tried])
-        if value - best <= penalty:
-            break
-        chosen, share, best = tried, new, value
     return sorted(((langs[i], float(x)) for i, x in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
