@@ -7,13 +7,17 @@ then j equal pieces, so a worker places a piece from its rank in the class alone
 count before its chunk plus the rank in it, and no piece sees another. What is left of each class,
 fewer than j pieces and so bounded by C alone, is dealt out best-fit from the counts.
 
-Defined cases: a null or empty text is its end id alone; repeated rows are packed once each;
-an empty table gives no pieces. Extra columns are ignored.
+Documents are cut freely: the more exact the lengths, the less padding. README gives the figures beside those of whole documents.
+
+Defined cases: a null or empty text is its end id alone; a text of any length is worked on whole, and its pieces follow each other
+in start; repeated rows are packed once each; among pieces of a length, the order of rows in a task decides; an empty table gives no pieces.
+Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
 import zlib
@@ -31,59 +35,74 @@ from .common import map_pandas, pick, settle, table
 CAPACITY = 2048
 END_ID = 1
 END = struct.pack("<I", END_ID)
-#: Words and chunks between white space kept a worker, in each of two generations.
-CACHE_WORDS, CACHE_CHUNKS = 100_000, 100_000
+#: Words kept a worker, in each of two generations; longer ones than KEPT_LENGTH aren't kept.
+CACHE, KEPT_LENGTH = 200_000, 64
 
-#: How the tokenizer splits lower-cased text, over the characters of PLAIN.
+#: The tokenizer files whose words can be worked on one by one, and how they split lower-cased text, over the characters of PLAIN.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
 
 
-class Recent(dict):
-    """A cache of two generations: a full one becomes the old one, and what is used again comes back from it."""
+class Words(dict):
+    """Ids of words, made at the first look. A full generation becomes the old one, and what is used again comes back from it."""
 
-    def __init__(self, make, most: int) -> None:
+    def __init__(self, make) -> None:
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.old = make, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(key) <= 64:
-            self[key] = value
-        return value
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Encoder:
-    """Ids of texts, four bytes each. White space separates words, so a text over PLAIN is looked up chunk by chunk; others, and texts that hold an added token, go to the tokenizer whole."""
+    """Ids of texts, four bytes each.
+
+    A text over PLAIN is split into words, and a word that hasn't been seen goes to the tokenizer's model.
+    Other texts, texts that hold an added token, and all texts of tokenizers that split otherwise go to the tokenizer whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
-        self.words = Recent(self._word, CACHE_WORDS)
-        self.chunks = Recent(self._chunk, CACHE_CHUNKS)
+        self.by_word = self._splits_as_known()
+        self.words = Words(self._word)
+
+    def _splits_as_known(self) -> bool:
+        form = json.loads(self.tokenizer.to_str())
+        before, model = form["pre_tokenizer"] or {}, form["model"]
+        parts = before.get("pretokenizers", [])
+        return (
+            (form["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and [x["type"] for x in parts] == ["Split", "ByteLevel"]
+            and (parts[0]["pattern"], parts[0]["behavior"], parts[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+            and not (parts[1]["add_prefix_space"] or parts[1]["use_regex"])
+            and model["type"] == "BPE" and not model["dropout"]
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in form["added_tokens"])
+        )
 
     def _word(self, word: str) -> bytes:
-        own = word if word.isascii() else word.translate(self.bytes_of)
-        return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, WORD.findall(chunk.lower())))
+        return array("I", [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.bytes_of))]).tobytes()
 
     def ids(self, text: str) -> bytes:
         lower = text.lower()
-        if PLAIN.fullmatch(text) and not any(t in lower for t in self.added):
-            return b"".join(map(self.chunks.__getitem__, text.split()))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self.by_word or not PLAIN.fullmatch(text) or any(t in lower for t in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, WORD.findall(lower)))
 
 
 @lru_cache(maxsize=1)
