@@ -21,7 +21,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", [n for n in catalog.ORACLE_SQL if n != "ppr_3_terms"])
+@pytest.mark.parametrize("name", [*catalog.ORACLE_SQL])
 def test_query(spark, con, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
     columns = sorted(want.columns)

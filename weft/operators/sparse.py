@@ -71,6 +71,17 @@ def plus_diffused(x: DataFrame, m: DataFrame) -> DataFrame:
     return x.select("node", "dim", "val").unionAll(spmm(m, x)).groupBy("node", "dim").agg(F.sum("val").alias("val"))
 
 
+def neighbour_sums(edges: DataFrame, x: DataFrame, own: float = 1.0) -> DataFrame:
+    """node, dim, val: own times each node's features plus the sum of its neighbours'. The aggregate of a sum-pooling layer."""
+    met = edges.join(x, edges["dst"] == x["node"]).select(F.col("src").alias("node"), "dim", "val")
+    return met.unionAll(x.select("node", "dim", (F.col("val") * own).alias("val"))).groupBy("node", "dim").agg(F.sum("val").alias("val"))
+
+
+def neighbour_means(edges: DataFrame, x: DataFrame) -> DataFrame:
+    """node, dim, val: the mean of the neighbours' features, none without neighbours. The aggregate of a mean-pooling layer."""
+    return edges.join(x, edges["dst"] == x["node"]).groupBy(F.col("src").alias("node"), "dim").agg(F.avg("val").alias("val"))
+
+
 def symmetric_pairs(edges: DataFrame) -> DataFrame:
     """src, dst: both directions, each once."""
     return edges.select("src", "dst").unionAll(edges.select("dst", "src")).distinct()

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .encodings import triangles
 
 # --- relational parts
@@ -63,6 +64,22 @@ def sublevel(valued: DataFrame, steps: DataFrame) -> DataFrame:
     return steps.join(valued, "graph_id").where(F.col("value") <= F.col("tau")).select("graph_id", "step", "u", "v")
 
 
+def component_counts(nodes: DataFrame, subgraphs: DataFrame) -> DataFrame:
+    """graph_id, step, betti0 of subgraphs (graph_id, step, u, v) on all nodes of their graphs: each edge of a forest joins two components. Steps without edges are missing."""
+    key = lambda n: F.struct("graph_id", "step", F.col(n).alias("node"))
+    roots = components(subgraphs.select(key("u").alias("a"), key("v").alias("b")))
+    joined = roots.where("node <> root").groupBy("node.graph_id", "node.step").agg(F.count("*").alias("joined"))
+    sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    return joined.join(sizes, "graph_id").select("graph_id", "step", (F.col("n") - F.col("joined")).alias("betti0"))
+
+
+def norm_values(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """graph_id, u, v, value: the mean of the norms of the ends' features (feat); none is 0."""
+    norm = F.coalesce(F.sqrt(F.aggregate("feat", F.lit(0.0), lambda s, x: s + x * x)), F.lit(0.0))
+    n = nodes.select("graph_id", "node_id", norm.alias("l"))
+    return edges.join(n.toDF("graph_id", "u", "lu"), ["graph_id", "u"]).join(n.toDF("graph_id", "v", "lv"), ["graph_id", "v"]).select("graph_id", "u", "v", ((F.col("lu") + F.col("lv")) / 2).alias("value"))
+
+
 def boundary_1(edges: DataFrame) -> DataFrame:
     """graph_id, node, u, v, sign: + at the smaller end."""
     return edges.select("graph_id", F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("sign")), F.struct(F.col("v").alias("node"), F.lit(-1).alias("sign")))).alias("e"), "u", "v").select("graph_id", "e.node", "u", "v", "e.sign")

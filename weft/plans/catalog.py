@@ -130,7 +130,12 @@ def class_split_sizes(s, d):
     return selection.class_split(fx.gnodes(s, d), 20, 100).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "SELECT * FROM (SELECT fold::INT AS fold, 'test' AS part, n FROM fs UNION ALL SELECT fold::INT, 'val', v FROM iv UNION ALL SELECT fold::INT, 'train', rest - v FROM iv) WHERE n > 0",
+    EVENT_CTE
+    + """, fs AS (SELECT fold, count(r) n FROM (SELECT unnest(range(0, 10)) AS fold) LEFT JOIN (SELECT row_number() OVER (PARTITION BY label ORDER BY graph_id) - 1 AS r FROM gl) ON r % 10 = fold GROUP BY fold),
+iv AS (SELECT fold, (SELECT count(*) FROM gl) - n AS rest, greatest(1, floor(((SELECT count(*) FROM gl) - n) / 10))::BIGINT AS v FROM fs)""",
+)
 def inner_validation_sizes(s, d):
     return selection.inner_validation(selection.stratified_folds(fx.graph_labels(fx.event_nodes(s, d)))).groupBy("fold", "part").agg(F.count("*").alias("n"))
 
@@ -156,7 +161,12 @@ def ppr_3_terms(s, d):
     return _nudged(sparse.ppr_terms(sparse.transition(_edges(s, d)), 3))
 
 
-@query()
+PPR_CTE = NODE_CTE + "".join(f", q{n} AS MATERIALIZED (" + ("SELECT * FROM p" if n == 1 else f"SELECT a.i, b.j, sum(a.v * b.v) v FROM q{n - 1} a JOIN p b ON a.j = b.i GROUP BY a.i, b.j") + ")" for n in range(1, 30))
+PPR_CTE += ", last AS (SELECT coalesce(min(n), 29) m FROM (" + " UNION ALL ".join(f"SELECT {n} n, max(v) * {0.15 * 0.85**n!r} t FROM q{n}" for n in range(2, 30)) + ") WHERE t < 1e-5)"
+PPR_CTE += ", terms AS (" + " UNION ALL ".join(f"SELECT {n} n, i, j, {0.15 * 0.85**n!r} * v v FROM q{n}" for n in range(1, 30)) + ")"
+
+
+@query("SELECT i, j, round(sum(v), 6) AS v FROM terms, last WHERE n <= m AND i <> j GROUP BY i, j HAVING sum(v) >= 1e-4", PPR_CTE)
 def ppr_full(s, d):
     return sparse.ppr(sparse.transition(_edges(s, d)))
 
@@ -271,6 +281,16 @@ def guided_scores(s, d):
     return both.select("dim", sparse.guided(F.lit(0.5), F.col("smoothness"), F.col("consistency"), h, 0.1, 0.2).alias("score"))
 
 
+@query("SELECT node, dim, round(sum(val), 6) AS val FROM (SELECT node, dim, val FROM f UNION ALL SELECT src, dim, val FROM ge JOIN f ON dst = node) GROUP BY node, dim", NODE_CTE)
+def neighbour_sums(s, d):
+    return sparse.neighbour_sums(_edges(s, d), _f(s, d))
+
+
+@query("SELECT src AS node, dim, round(avg(val), 6) AS val FROM ge JOIN f ON dst = node GROUP BY src, dim", NODE_CTE)
+def neighbour_means(s, d):
+    return sparse.neighbour_means(_edges(s, d), _f(s, d))
+
+
 @query("SELECT src AS node, d AS degree FROM deg", NODE_CTE)
 def node_degree(s, d):
     return sparse.degrees(_edges(s, d))
@@ -308,7 +328,18 @@ def degree_clustering(s, d):
     return enc.degree_clustering(_edges(s, d), fx.gnodes(s, d))
 
 
-@query()
+def _layer_sql(n: int) -> str:
+    """One more layer on the angles l<n - 1>."""
+    return f""", b{n} AS MATERIALIZED (SELECT node, dim, sum(val) val FROM (SELECT i node, dim, 0.5 * sum(v * val) val FROM dif JOIN l{n - 1} ON j = node GROUP BY i, dim UNION ALL SELECT node, dim, 0.5 * val FROM l0) GROUP BY node, dim),
+m{n} AS (SELECT dim, median(val) m FROM b{n} JOIN gn USING (node) WHERE split = 'train' GROUP BY dim),
+d{n} AS (SELECT dim, any_value(m) m, median(abs(val - m)) a FROM b{n} JOIN gn USING (node) JOIN m{n} USING (dim) WHERE split = 'train' GROUP BY dim),
+l{n} AS MATERIALIZED (SELECT node, dim, acos(greatest(-1 + 1e-7, least(1 - 1e-7, tanh((val - m) / (a + 1e-8))))) val FROM b{n} JOIN d{n} USING (dim))"""
+
+
+@query(
+    "SELECT node, dim, round(val, 6) AS val FROM l2",
+    NODE_CTE + ", dif AS MATERIALIZED (SELECT i, j, sum(v) v FROM (SELECT i, j, 0.5 * v v FROM p UNION ALL SELECT i, j, 0.25 * v FROM p2) WHERE i <> j GROUP BY i, j), l0 AS (SELECT * FROM ang)" + _layer_sql(1) + _layer_sql(2),
+)
 def layered_angular(s, d):
     e = _edges(s, d)
     return enc.layered_angles(_f(s, d), settle(sparse.diffusion(sparse.transition(e), 2), "diffusion"), _train(s, d), 2)[-1]
@@ -324,6 +355,16 @@ def rarity_weights(s, d):
     return enc.node_weights(fx.event_nodes(s, d), "rarity")
 
 
+@query("SELECT graph_id, node_id, round(sqrt((label + 1) ** 2 + node_id ** 2) + 1e-6, 6) AS weight FROM en", EVENT_CTE)
+def norm_weights(s, d):
+    return enc.node_weights(fx.with_features(fx.event_nodes(s, d)), "feat_norm")
+
+
+@query("SELECT graph_id, node_id, CASE label WHEN 0 THEN 2.55 WHEN 1 THEN 3.04 WHEN 2 THEN 3.44 WHEN 3 THEN 3.98 ELSE 2.55 END::DOUBLE AS weight FROM en", EVENT_CTE)
+def electronegativity_weights(s, d):
+    return enc.node_weights(fx.event_nodes(s, d), "electronegativity", {0: "C", 1: "N", 2: "O", 3: "F"})
+
+
 @query("SELECT la, lb, count(*) AS n FROM (SELECT a.label la, b.label lb FROM both_ends e JOIN en a ON a.graph_id = e.graph_id AND a.node_id = e.a JOIN en b ON b.graph_id = e.graph_id AND b.node_id = e.b) GROUP BY la, lb", EVENT_CTE)
 def label_cooccurrence(s, d):
     n = fx.event_nodes(s, d)
@@ -374,6 +415,18 @@ def argmax_accuracy(s, d):
     return selection.accuracy(_f(s, d).withColumnRenamed("dim", "class"), fx.gnodes(s, d))
 
 
+@query("SELECT node, split FROM gn WHERE NOT EXISTS (SELECT 1 FROM gn t WHERE t.node = gn.node AND t.split = 'train')", NODE_CTE)
+def remaining_nodes(s, d):
+    return fx.gnodes(s, d).join(_train(s, d), "node", "left_anti").select("node", "split")
+
+
+@query("SELECT dim AS setting, round(acc, 6) AS val FROM (SELECT dim, avg(((val > 0) = (y = 0))::INT::DOUBLE) acc FROM f JOIN gn USING (node) WHERE split = 'val' GROUP BY dim) ORDER BY acc DESC, dim LIMIT 1", NODE_CTE)
+def best_setting(s, d):
+    """The first dimension whose sign tells class 0 best."""
+    hits = _f(s, d).join(fx.gnodes(s, d).where("split = 'val'").select("node", "y"), "node")
+    return selection.first_best(hits.groupBy(F.col("dim").alias("setting")).agg(F.avg(((F.col("val") > 0) == (F.col("y") == 0)).cast("double")).alias("val")))
+
+
 @query("SELECT node, dim, round(2 * (val - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END - 1, 6) AS val FROM f JOIN (SELECT dim, min(val) lo, max(val) hi FROM f GROUP BY dim) USING (dim)", NODE_CTE)
 def minmax(s, d):
     return sc.minmax(_f(s, d))
@@ -551,6 +604,25 @@ def ring_means(s, d):
     return topology.ring_means(topology.betti_numbers(n, e), fx.graph_labels(n))
 
 
+@query("SELECT e.graph_id, e.u, e.v, round((sqrt((a.label + 1) ** 2 + a.node_id ** 2) + sqrt((b.label + 1) ** 2 + b.node_id ** 2)) / 2, 6) AS value FROM ee e JOIN en a ON a.graph_id = e.graph_id AND a.node_id = e.u JOIN en b ON b.graph_id = e.graph_id AND b.node_id = e.v", EVENT_CTE)
+def norm_values(s, d):
+    n, e = _collection(s, d)
+    return topology.norm_values(e, fx.with_features(n))
+
+
+@query(
+    """SELECT graph_id, step::INT AS step, n - count(*) FILTER (low < b) AS betti0 FROM (SELECT graph_id, step, b, min(a) low FROM reach GROUP BY ALL) JOIN (SELECT graph_id, count(*) n FROM en GROUP BY 1) USING (graph_id) GROUP BY graph_id, step, n""",
+    EVENT_CTE.replace("\nkinds AS", "RECURSIVE\nkinds AS", 1)
+    + """, sub AS MATERIALIZED (SELECT graph_id, step, u, v FROM steps JOIN dv USING (graph_id) WHERE value <= tau),
+two AS MATERIALIZED (SELECT graph_id, step, u a, v b FROM sub UNION ALL SELECT graph_id, step, v, u FROM sub),
+reach AS (SELECT graph_id, step, a, b FROM two UNION SELECT r.graph_id, r.step, r.a, t.b FROM reach r JOIN two t ON t.graph_id = r.graph_id AND t.step = r.step AND t.a = r.b)""",
+)
+def betti0_by_step(s, d):
+    n, e = _collection(s, d)
+    v = settle(topology.degree_values(e), "values")
+    return topology.component_counts(n, topology.sublevel(v, topology.thresholds(v, 10, 0.1)))
+
+
 # --- kernels and solvers
 
 PAIR_CTE = NODE_CTE + ", kp AS (SELECT a.vec_id i, b.vec_id j, greatest(-1 + 1e-7, least(1 - 1e-7, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))))) c FROM emb a CROSS JOIN emb b)"
@@ -667,7 +739,21 @@ def fold_summary(s, d):
     return summary(s.createDataFrame([(k, "m", n, a) for k, n, a, _ in WILCOXON], "dataset string, method string, fold int, acc double"))
 
 
-@query()
+@query(f"""SELECT dataset, round(avg(a), 6) AS a, round(avg(b), 6) AS b FROM (VALUES {", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, n, a, b in WILCOXON)}) t(dataset, a, b) GROUP BY dataset""")
+def results_pivot(s, d):
+    from weft.sources.results import results_table
+
+    return results_table(s.createDataFrame([(k, m, x) for k, _, a, b in WILCOXON for m, x in (("a", a), ("b", b))], "dataset string, method string, acc double"), ["a", "b"])
+
+
+@query(
+    f"""WITH x AS (SELECT *, round(a - b, 9) df FROM (VALUES {", ".join(f"('{k}', {n}, {a}::DOUBLE, {b}::DOUBLE)" for k, n, a, b in WILCOXON)}) t(dataset, fold, a, b)),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY fold) - 1 AS bit, count(*) OVER (PARTITION BY dataset) AS n, rank() OVER (PARTITION BY dataset ORDER BY abs(df)) + (count(*) OVER (PARTITION BY dataset, abs(df)) - 1) / 2 rk FROM x WHERE df <> 0),
+w AS (SELECT dataset, any_value(n) n, least(coalesce(sum(rk) FILTER (df > 0), 0), coalesce(sum(rk) FILTER (df < 0), 0)) low FROM r GROUP BY dataset),
+signs AS (SELECT r.dataset, s, sum(CASE WHEN (s >> bit) & 1 = 1 THEN rk ELSE 0 END) t FROM r, (SELECT unnest(range(0, 1024)) s) WHERE s < (1 << n) GROUP BY r.dataset, s),
+p AS (SELECT dataset, any_value(w.n) n, least(1, 2 * count(*) FILTER (t <= low + 1e-9) / (1 << any_value(w.n))) p FROM signs JOIN w USING (dataset) GROUP BY dataset)
+SELECT dataset, p.n::BIGINT AS n, round(p.p, 6) AS p, CASE WHEN p.p >= 0.05 THEN 'n.s.' WHEN avg(a) > avg(b) THEN 'a' ELSE 'b' END AS result FROM x JOIN p USING (dataset) GROUP BY dataset, p.n, p.p"""
+)
 def wilcoxon(s, d):
     return statistics.wilcoxon(s.createDataFrame(WILCOXON, "dataset string, fold int, a double, b double"))
 

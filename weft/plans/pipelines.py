@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.scaling import angular, argmax, prescreen, robust_tanh, soft_angles
+from weft.functions.scaling import angular, argmax, l1_rows, prescreen, robust_tanh, soft_angles
 from weft.operators import encodings as enc
 from weft.operators import kernels, selection, solvers, spreading, topology
 from weft.operators.sparse import degrees, diffusion, plus_diffused, ppr, transition
@@ -86,14 +86,20 @@ def structure(g: Graph, block: str, lap_k: int = 8, hks_t: int = 6) -> DataFrame
     return angular(raw)
 
 
-def angles(g: Graph, mode: str = "baseline", *, top: int = 20, alpha: float = 0.15, k: int = 4, r: float = 0.5) -> tuple[DataFrame, int | None]:
-    """Prescreened diffused angles of a mode with its structural blocks after them, and the first structural dim. Unknown modes are the baseline."""
+def angles(g: Graph, mode: str = "baseline", *, top: int = 20, alpha: float = 0.15, k: int = 4, r: float = 0.5, layers_by_ppr: bool = True, layers_lappe: bool = False, lap_k: int = 8) -> tuple[DataFrame, int | None]:
+    """Prescreened diffused angles of a mode with its structural blocks after them, and the first structural dim. Unknown modes are the baseline.
+
+    Layers diffuse by personalised PageRank or by the polynomial, and may have the Laplacian encoding after them.
+    """
     kind, blocks = MODES.get(mode, MODES["baseline"])
     if kind.startswith("layers"):
         n = int(kind[-1])
-        layers = enc.layered_angles(g.x, g.operator("ppr", alpha=alpha), g.train, n)
+        layers = enc.layered_angles(g.x, g.operator("ppr", alpha=alpha) if layers_by_ppr else g.operator("poly", k=k, r=r), g.train, n)
         each = max(20, top // (n + 1))
-        return settle(_stacked([_dense_dims(prescreen(layer, g.nodes, each)) for layer in layers]), "angles"), None
+        stacked = settle(_stacked([_dense_dims(prescreen(layer, g.nodes, each)) for layer in layers]), "angles")
+        if not layers_lappe:
+            return stacked, None
+        return settle(_stacked([stacked, structure(g, "lappe", lap_k)]), "angles"), stacked.agg(F.max("dim")).first()[0] + 1
     m = g.operator("ppr", alpha=alpha) if kind == "ppr" else g.operator("poly", k=k, r=r)
     features = g.once(("diffused", kind, alpha, k, r), lambda: enc.diffused_angles(g.x, m, g.train))
     chosen = settle(_dense_dims(prescreen(features, g.nodes, top)), "chosen")
@@ -140,74 +146,80 @@ def run_paths(g: Graph, mode: str = "ppr", search: str = "beam", top: int = 8, *
     return {"method": f"paths_{mode}_{search}", "accuracy": _test_accuracy(g, solvers.path_scores(x, g.nodes, models))}
 
 
-def run_kernel(g: Graph, *, smooth: bool = False, gamma: float = 0.0, **options) -> dict:
-    kernel = ppr_kernel(g, **options)
-    model = solvers.KernelRidge(gamma=gamma).fit(kernel, g.nodes, degrees(g.edges))
+def _fitted(g: Graph, kernel: DataFrame, method: str, gamma: float = 0.0) -> dict:
+    """method, val, accuracy and scores of kernel ridge."""
+    model = solvers.KernelRidge(gamma=gamma).fit(kernel, g.nodes, degrees(g.edges) if gamma else None)
     scores = settle(model.scores(kernel), "scores")
+    return {"method": method, "val": model.val_accuracy, "accuracy": _test_accuracy(g, scores), "scores": scores}
+
+
+def _reported(g: Graph, runs: list[dict], smooth: bool) -> list[dict]:
+    """The runs without their scores and, if asked for, the first of the best validation accuracy once more, corrected and smoothed."""
+    out = [{k: v for k, v in r.items() if k != "scores"} for r in runs]
+    if smooth:
+        best = max(runs, key=lambda r: r["val"])
+        scores, val = spreading.smoothed(best["scores"], g.edges, g.nodes)
+        out.append({**{k: v for k, v in best.items() if k != "scores"}, "method": best["method"] + "_cs", "val": val, "accuracy": _test_accuracy(g, scores)})
+    return out
+
+
+def run_kernel(g: Graph, *, smooth: bool = False, gamma: float = 0.0, steps: tuple[int, ...] = (10, 50, 100), **options) -> dict:
+    """Kernel ridge on diffused angles; corrected and smoothed over a grid of settings and steps if asked for."""
+    run = _fitted(g, ppr_kernel(g, **options), "kernel" + f"_g{gamma:g}" * bool(gamma), gamma)
+    scores = run.pop("scores")
     if smooth:
-        found, _ = spreading.select_settings(scores, g.edges, g.nodes, (0.1, 0.3), (10,))
-        scores = spreading.correct_and_smooth(scores, g.edges, g.nodes, **found)
-    return {"method": "kernel" + "_cs" * smooth + f"_g{gamma:g}" * bool(gamma), "accuracy": _test_accuracy(g, scores), "val": model.val_accuracy}
+        scores, val = spreading.smoothed(scores, g.edges, g.nodes, steps=steps)
+        run |= {"method": run["method"] + "_cs", "val": val, "accuracy": _test_accuracy(g, scores)}
+    return run
 
 
-def run_rbf(g: Graph, alphas: tuple[float, ...] = (0.1, 0.15, 0.2), sigmas: tuple[float | None, ...] = (0.5, 1.0, 2.0, 5.0, None)) -> dict:
-    """The first alpha and sigma of the best validation accuracy."""
-    best: dict = {"val": -1.0}
+def run_rbf(g: Graph, alphas: tuple[float, ...] = (0.1, 0.15, 0.2), sigmas: tuple[float | None, ...] = (0.5, 1.0, 2.0, 5.0, None), lappe: bool = True, smooth: bool = False) -> list[dict]:
+    """A run for each alpha and sigma."""
+    runs = []
     for alpha in alphas:
         theta = g.once(("diffused", "ppr", alpha), lambda a=alpha: enc.diffused_angles(g.x, g.operator("ppr", alpha=a), g.train))
-        pairs = g.once(("dots", alpha), lambda t=theta: kernels.dots(rows(t)))
+        pairs = g.once(("dots", alpha, lappe), lambda t=theta: kernels.dots(rows(_stacked([t, structure(g, "lappe")]) if lappe else t)))
         for sigma in sigmas:
             kernel, used = kernels.rbf(pairs, sigma, 500)
-            model = solvers.KernelRidge().fit(kernel, g.nodes)
-            if model.val_accuracy > best["val"]:
-                best = {"method": "rbf", "val": model.val_accuracy, "alpha": alpha, "sigma": used, "accuracy": _test_accuracy(g, model.scores(kernel))}
-    return best
+            runs.append(_fitted(g, settle(kernel, "kernel"), "rbf") | {"alpha": alpha, "sigma": used})
+    return _reported(g, runs, smooth)
 
 
-def run_layers(g: Graph, layers: int = 2, **options) -> dict:
-    """A kernel on its predecessor's scores as angles, layer on layer, for as long as validation gains."""
-    extra, best = None, {"val": -1.0}
+def run_layers(g: Graph, layers: int = 2, stops: bool = False, lappe: bool = True, alpha: float = 0.15, **grid) -> dict:
+    """A kernel, corrected and smoothed, on its predecessor's scores as angles beside the features, with as much weight as these; if it stops, as soon as validation doesn't gain."""
+    theta = g.once(("diffused", "ppr", alpha), lambda: enc.diffused_angles(g.x, g.operator("ppr", alpha=alpha), g.train))
+    features = g.once(("features", alpha, lappe), lambda: _stacked([theta, structure(g, "lappe")]) if lappe else theta)
+    width, n_classes = 1 + features.agg(F.max("dim")).first()[0], g.classes.count()
+    best: dict = {"val": -1.0}
+    own = features
     for n in range(layers):
-        kernel = ppr_kernel(g, extra=extra, **options)
-        model = solvers.KernelRidge().fit(kernel, g.nodes)
-        if model.val_accuracy <= best["val"]:
+        kernel = settle(kernels.arc_cosine(kernels.dots(rows(own)), 1), "kernel")
+        scores, val = spreading.smoothed(_fitted(g, kernel, "layer")["scores"], g.edges, g.nodes, **grid)
+        if stops and val <= best["val"]:
             break
-        scores = settle(model.scores(kernel), "scores")
-        best = {"method": f"layers{n + 1}", "val": model.val_accuracy, "accuracy": _test_accuracy(g, scores)}
-        from weft.functions.scaling import softmax
-
-        extra = settle(soft_angles(softmax(scores)), "soft")
+        best = {"method": f"layers{n + 1}", "val": val, "accuracy": _test_accuracy(g, scores)}
+        own = settle(_stacked([features, soft_angles(scores, (width / n_classes) ** 0.5)]), "layer")
     return best
 
 
-def sweep(g: Graph, name: str, values: tuple, run: Callable[[object], dict]) -> list[dict]:
-    """A run for each value."""
-    return [{name: v} | run(v) for v in values]
+def run_alpha_sweep(g: Graph, alphas: tuple[float, ...] = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6), lappe: bool = True, smooth: bool = False) -> list[dict]:
+    return _reported(g, [_fitted(g, ppr_kernel(g, alpha=a, lappe=lappe), "alpha") | {"alpha": a} for a in alphas], smooth)
 
 
-def run_alpha_sweep(g: Graph, alphas: tuple[float, ...] = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6)) -> list[dict]:
-    return sweep(g, "alpha", alphas, lambda a: run_kernel(g, alpha=a))
+def run_adaptive(g: Graph, gammas: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), lappe: bool = True, smooth: bool = False) -> list[dict]:
+    kernel = ppr_kernel(g, lappe=lappe)
+    return _reported(g, [_fitted(g, kernel, "adaptive", v) | {"gamma": v} for v in gammas], smooth)
 
 
-def run_adaptive(g: Graph, gammas: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> list[dict]:
-    return sweep(g, "gamma", gammas, lambda v: run_kernel(g, gamma=v))
-
-
-def run_combined(g: Graph, weights: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0)) -> list[dict]:
-    """Feature kernel plus weight times the label kernel; the feature kernel is made once."""
-    own = ppr_kernel(g)
+def run_combined(g: Graph, weights: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0), lappe: bool = True, smooth: bool = False) -> list[dict]:
+    """Feature kernel plus weight times the label kernel; both are made once."""
+    own = ppr_kernel(g, lappe=lappe)
     labels = settle(kernels.arc_cosine(kernels.dots(rows(label_features(g)))), "kernel")
-
-    def run(w: float) -> dict:
-        kernel = kernels.combined(own, labels, w)
-        model = solvers.KernelRidge().fit(kernel, g.nodes)
-        return {"method": "combined", "val": model.val_accuracy, "accuracy": _test_accuracy(g, model.scores(kernel))}
-
-    return sweep(g, "weight", weights, run)
+    return _reported(g, [_fitted(g, settle(kernels.combined(own, labels, w), "kernel"), "combined") | {"weight": w} for w in weights], smooth)
 
 
-def run_label_kernel(g: Graph, scales: tuple[float, ...] = (0.5, 1.0, 2.0)) -> list[dict]:
-    return sweep(g, "scale", scales, lambda s: run_kernel(g, extra=label_features(g, scale=s)))
+def run_label_kernel(g: Graph, scales: tuple[float, ...] = (0.5, 1.0, 2.0), lappe: bool = True, smooth: bool = False) -> list[dict]:
+    return _reported(g, [_fitted(g, ppr_kernel(g, lappe=lappe, extra=label_features(g, scale=s)), "labels") | {"scale": s} for s in scales], smooth)
 
 
 def run_sgc(g: Graph, hops: int = 2) -> dict:
@@ -226,52 +238,80 @@ def run_sgc(g: Graph, hops: int = 2) -> dict:
     return {"method": "sgc", "accuracy": hit}
 
 
-def run_mlp(g: Graph, hidden: int = 64) -> dict:
-    """A network of one hidden layer (sigmoid, no dropout) on the raw features."""
+def run_mlp(g: Graph, hidden: int = 64, smooth: bool = False, **grid) -> dict:
+    """A network of one hidden layer (sigmoid, no dropout) on the features with rows of absolute sum 1; corrected and smoothed if asked for."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = g.nodes.select("y", "split", array_to_vector("x").alias("features"))
+    data = rows(l1_rows(g.x)).join(g.nodes.select("node", "y", "split"), "node").select("node", "y", "split", array_to_vector("x").alias("features"))
     width, n = data.first()["features"].size, g.classes.agg(F.max("class")).first()[0] + 1
     model = MultilayerPerceptronClassifier(labelCol="y", layers=[width, hidden, n], maxIter=100, seed=42).fit(data.where("split = 'train'"))
-    hit = model.transform(data.where("split = 'test'")).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
-    return {"method": "mlp", "accuracy": hit}
+    # logarithms, as a softmax of them gives the probabilities back
+    scores = settle(model.transform(data).select("node", F.posexplode(vector_to_array("probability")).alias("class", "p")).select("node", "class", F.log(F.col("p") + 1e-12).alias("val")), "scores")
+    val = selection.accuracy(scores, g.nodes.where("split = 'val'").select("node", "y")).first()["accuracy"]
+    if smooth:
+        scores, val = spreading.smoothed(scores, g.edges, g.nodes, **grid)
+    return {"method": "mlp" + "_cs" * smooth, "val": val, "accuracy": _test_accuracy(g, scores)}
 
 
+#: The modes' names.
 KERNEL_MODES: dict[str, Callable[[Graph], dict | list[dict]]] = {
     "kernel_ppr": lambda g: run_kernel(g),
     "kernel_ppr_lappe": lambda g: run_kernel(g, lappe=True),
-    "kernel_ppr_deg2": lambda g: run_kernel(g, degree=2),
     "cs_kernel": lambda g: run_kernel(g, smooth=True),
     "cs_kernel_lappe": lambda g: run_kernel(g, smooth=True, lappe=True),
-    "rbf_kernel": run_rbf,
-    "two_layer_kernel": lambda g: run_layers(g, 2),
-    "multilayer_kernel": lambda g: run_layers(g, 5),
-    "alpha_sweep": run_alpha_sweep,
-    "adaptive_kernel": run_adaptive,
+    "cs_mlp": lambda g: run_mlp(g, smooth=True),
+    "lp_kernel": run_label_kernel,
+    "lp_kernel_cs": lambda g: run_label_kernel(g, smooth=True),
     "combined_kernel": run_combined,
-    "lp_kernel_sweep": run_label_kernel,
-    "lp_kernel": lambda g: run_kernel(g, extra=label_features(g)),
-    "cs_mlp": run_mlp,
-    "sgc": run_sgc,
+    "combined_kernel_cs": lambda g: run_combined(g, smooth=True),
+    "adaptive_kernel": run_adaptive,
+    "adaptive_kernel_cs": lambda g: run_adaptive(g, smooth=True),
+    "alpha_sweep": run_alpha_sweep,
+    "alpha_sweep_cs": lambda g: run_alpha_sweep(g, smooth=True),
+    "two_layer_kernel": lambda g: run_layers(g, 2),
+    "multilayer_kernel": lambda g: run_layers(g, 5, stops=True),
+    "rbf_kernel": run_rbf,
+    "rbf_kernel_cs": lambda g: run_rbf(g, smooth=True),
 }
 
 
 def run(g: Graph, mode: str, search: str = "beam") -> dict | list[dict]:
     """A mode by name: a kernel run, or a path search on that mode's angles."""
-    return KERNEL_MODES[mode](g) if mode in KERNEL_MODES else run_paths(g, mode, search)
+    if mode in KERNEL_MODES:
+        return KERNEL_MODES[mode](g)
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    return run_paths(g, mode, search)
 
 
 # --- graph collections
 
-#: Filtrations, steps and eigenvalues of each data set.
+#: Filtrations, steps and eigenvalues of each data set in the whole comparison; feat: the labels.
 COLLECTIONS = {
-    "MUTAG": {"modes": ("ricci", "label"), "steps": 10},
-    "PTC_MR": {"modes": ("ricci", "label"), "steps": 10},
-    "DHFR": {"modes": ("ricci", "label"), "steps": 10},
-    "NCI1": {"modes": ("ricci", "degree", "label"), "steps": 10},
-    "PROTEINS": {"modes": ("ricci", "degree"), "steps": 12},
+    "MUTAG": {"modes": ("ricci",), "steps": 8, "k": 5},
+    "PTC_MR": {"modes": ("ricci", "degree"), "steps": 10, "k": 5},
+    "DHFR": {"modes": ("ricci", "degree", "label"), "steps": 10, "k": 5},
+    "NCI1": {"modes": ("ricci", "degree", "label"), "steps": 10, "k": 5},
+    "PROTEINS": {"modes": ("ricci", "degree"), "steps": 12, "k": 5},
 }
+#: The filtrations of the ablation; they differ for one data set.
+ABLATION = {
+    "MUTAG": ("ricci",),
+    "PTC_MR": ("ricci", "degree"),
+    "DHFR": ("ricci", "degree", "label"),
+    "NCI1": ("ricci", "degree", "label"),
+    "PROTEINS": ("degree", "label"),
+}
+
+
+def run_collection(nodes: DataFrame, edges: DataFrame, labels: DataFrame, dataset: str, folds: int = 10) -> DataFrame:
+    """dataset, method, mean, std of a data set by its configuration: topological vectors and the subtree kernel over the same folds."""
+    from weft.sources.results import fold_summary
+
+    c = COLLECTIONS[dataset]
+    own = phs_folds(nodes, edges, labels, c["modes"], c["steps"], c["k"], folds).unionAll(wl_folds(nodes, edges, labels, folds=folds))
+    return fold_summary(own.withColumn("dataset", F.lit(dataset)))
 
 
 def cross_validated(vectors: DataFrame, labels: DataFrame, folds: int = 10, dataset: str = "events", method: str = "phs") -> DataFrame:

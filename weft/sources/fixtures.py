@@ -51,6 +51,11 @@ def event_edges(nodes: DataFrame) -> DataFrame:
     return ends.where("v IS NOT NULL").distinct()
 
 
+def with_features(nodes: DataFrame) -> DataFrame:
+    """Nodes with feat: an event's type and place as two numbers."""
+    return nodes.withColumn("feat", F.array((F.col("label") + 1).cast("double"), F.col("node_id").cast("double")))
+
+
 def graph_labels(nodes: DataFrame, label: int = 2) -> DataFrame:
     """graph_id, label: 1 where the graph has more nodes of that label than the median graph."""
     n = nodes.groupBy("graph_id").agg(F.count_if(F.col("label") == label).alias("n"))
