@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from weft.operators import encodings as enc
 from weft.operators import kernels, selection, solvers, sparse, spreading, statistics, topology
+from weft.plans import pipelines
 from weft.sources import results, tu
 
 CYCLE = lambda n: [(i, i + 1) for i in range(n - 1)] + [(0, n - 1)]
@@ -209,3 +210,60 @@ def test_text_reader_and_results(spark, tmp_path):
     assert results.results_table(loaded, ["m"]).first()["m"] == pytest.approx(0.6)
     results.save_csv(loaded, str(tmp_path / "csv"))
     assert results.load_csv(spark, str(tmp_path / "csv"), "dataset string, method string, fold int, acc double").count() == 2
+
+
+@pytest.fixture(scope="module")
+def small_graph(spark):
+    """Two classes of nodes, joined within, with features that tell them apart."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(1.0 if i % 2 else -1.0, 0.7, 4)], i % 2, ("train", "train", "val", "test")[i // 2 % 4]) for i in range(32)]
+    pairs = {(i, (i + d) % 32) for i in range(32) for d in (2, 4)}
+    nodes = spark.createDataFrame(rows, "node long, x array<double>, y int, split string")
+    return pipelines.Graph(nodes, spark.createDataFrame(sorted(pairs | {(b, a) for a, b in pairs}), "src long, dst long"))
+
+
+def test_grid_and_configurations(small_graph):
+    import inspect
+
+    grid = inspect.signature(spreading.select_settings).parameters
+    assert (grid["alphas"].default, grid["steps"].default) == ((0.2, 0.5, 0.8), (10, 50))
+    assert inspect.signature(pipelines.run_kernel).parameters["steps"].default == (10, 50, 100)
+    assert len(pipelines.KERNEL_MODES) == 17 and pipelines.COLLECTIONS["MUTAG"]["steps"] == 8
+    with pytest.raises(ValueError, match="unknown mode"):
+        pipelines.run(small_graph, "no_such_mode")
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda g: pipelines.run_kernel(g, smooth=True, steps=(2,)),
+        lambda g: pipelines.run_mlp(g, smooth=True),
+        lambda g: pipelines.run_rbf(g, alphas=(0.15,), sigmas=(1.0, None), lappe=False, smooth=True),
+        lambda g: pipelines.run_layers(g, 2, lappe=False),
+        lambda g: pipelines.run_layers(g, 3, stops=True, lappe=False),
+        lambda g: pipelines.run_alpha_sweep(g, (0.15, 0.4), lappe=False, smooth=True),
+        lambda g: pipelines.run_adaptive(g, (0.0, 0.5), lappe=False, smooth=True),
+        lambda g: pipelines.run_combined(g, (0.0, 1.0), lappe=True, smooth=True),
+        lambda g: pipelines.run_label_kernel(g, (1.0,), lappe=False, smooth=True),
+    ],
+)
+def test_modes(small_graph, monkeypatch, run):
+    """The best of the runs scores the classes well; what is corrected and smoothed comes last."""
+    monkeypatch.setattr(spreading, "select_settings", lambda scores, edges, nodes, **grid: ({"alpha_correct": 0.2, "alpha_smooth": 0.2, "steps": 2}, 0.5))
+    found = run(small_graph)
+    every = found if isinstance(found, list) else [found]
+    assert max(r["accuracy"] for r in every) >= 0.75 and not any("scores" in r for r in every)
+    if isinstance(found, list):
+        assert [r["method"].endswith("_cs") for r in found] == [False] * (len(found) - 1) + [True]
+
+
+def test_angles_of_layers(small_graph):
+    """The polynomial and the Laplacian encoding are options of the layered angles."""
+    x, start = pipelines.angles(small_graph, "multilayer", layers_by_ppr=False, layers_lappe=True, lap_k=2)
+    assert start == 12 and x.agg({"dim": "max"}).first()[0] == 13
+
+
+def test_component_counts(spark):
+    nodes = spark.createDataFrame([(g, n) for g in (1, 2) for n in range(6)], "graph_id long, node_id long")
+    subgraphs = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 2), (1, 1, 0, 5), (1, 1, 1, 2), (1, 1, 2, 5), (1, 1, 3, 4), (2, 0, 0, 1)], "graph_id long, step int, u long, v long")
+    assert {tuple(r) for r in topology.component_counts(nodes, subgraphs).collect()} == {(1, 0, 4), (1, 1, 2), (2, 0, 5)}
