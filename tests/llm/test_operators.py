@@ -468,6 +468,17 @@ def test_mixing(spark, folder, rows):
     assert first == second
 
 
+@pytest.mark.parametrize("path", ["folder", "/root/testdata/sf0.01"])
+def test_mixing_by_sql(spark, request, path):
+    path = request.getfixturevalue(path) if path == "folder" else path
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/documents.parquet{'/*.parquet' if 'root' not in path[:5] else ''}'")
+    want = con.execute(ORACLE_SQL[NAMES["op8"]]).fetchall()
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    got = sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in result(spark, "op8", path)), key=key)
+    assert got == sorted(want, key=key)
+
+
 def test_mixing_takes_by_the_keys(spark):
     """Epochs and then the documents in order of their keys, as a loop over each source does; a hot source, repeated rows and null ids among them."""
     import random

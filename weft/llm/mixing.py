@@ -22,6 +22,7 @@ from .common import pick, settle, table
 #: Buckets of a source's key order in each doubling of the key: by its scale no bucket holds over 0.1 % of exponential keys, whatever the weights.
 PER_OCTAVE = 512
 WORD = r"[^\x20\x09-\x0D]+"
+OTHER = r"[^\p{L}\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
@@ -30,7 +31,7 @@ def words(text: Column) -> Column:
 
 def quality(text: Column) -> Column:
     """The share of letters and white space, at least 0.05."""
-    rest = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", ""))
+    rest = F.length(F.regexp_replace(text, OTHER, ""))
     return F.greatest(F.lit(0.05), F.coalesce(rest / F.nullif(F.length(text), F.lit(0)), F.lit(0.05)))
 
 
@@ -54,7 +55,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
 
 def exponential_key(weight: Column) -> Column:
     """-ln(u) / weight, u a hash of doc_id and text."""
-    u = (F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     return -F.log(u) / weight
 
 
@@ -83,6 +85,21 @@ def op8_efraimidis_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(1 << 52)!r}::DOUBLE)
+    / greatest(0.05::DOUBLE, coalesce(length(regexp_replace(text, '{OTHER}', '', 'g')) / nullif(length(text), 0)::DOUBLE, 0.05::DOUBLE)) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY cap / w, source IS NULL, source) AS r FROM w),
+v AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, least(cap, coalesce(w * (SELECT arg_min(level, r) FROM v WHERE cap / w >= level), cap)) AS target FROM v),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+b AS (SELECT *, round(target - epochs * source_size)::BIGINT AS budget FROM g),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + greatest(0, least(budget - before, size)))::BIGINT AS taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source"""
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """docs (the columns of documents), each as often as the mix takes it: once a complete epoch, and its sampled words. What isn't taken goes; n_chars follows a text that is cut."""
     docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
