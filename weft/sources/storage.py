@@ -34,4 +34,14 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.settled_at = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what settle() wrote, once nothing that is still to be read depends on it."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        path.getFileSystem(conf).delete(path, True)
