@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.sources.storage import settle, shared_dir, table
+from weft.sources.storage import discard, settle, shared_dir, table
 
-__all__ = ["map_pandas", "pick", "settle", "shared_dir", "table"]
+__all__ = ["discard", "map_pandas", "pick", "settle", "shared_dir", "table"]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.components import components
 
-from .common import map_pandas, pick, settle, table
+from .common import discard, map_pandas, pick, settle, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -283,6 +283,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     x, y = open_rows.where("root <> main").alias("x"), open_rows.alias("y")
     across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & sketches_agree(F.col("x.sketch"), F.col("y.sketch")) & first & maybe_similar("x", "y"))
     more = _linked(across.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).join(stars, ["a", "b"], "left_anti"), texts)
+    discard(texts, sets, opened, split, members, hubs, shared, several)  # all links are written
     if not more.isEmpty():
         lifted = more.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
         joined = settle(components(lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "joined").toDF("root", "top")

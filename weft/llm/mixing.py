@@ -53,18 +53,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     return levels.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
-def exponential_key(weight: Column) -> Column:
-    """-ln(u) / weight, u a hash of doc_id and text."""
+def draw() -> Column:
+    """52 bits of a hash of doc_id and text."""
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    return -F.log(u) / weight
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
+
+def exponential_key(weight: Column) -> Column:
+    """-ln(u) / weight, u the draw between 0 and 1."""
+    return -F.log((draw() + 0.5) / float(1 << 52)) / weight
 
 
 def mix(docs: DataFrame, *, weight: Column | None = None, share: float = 1.5, epochs: float = 2.0, per_octave: int = PER_OCTAVE) -> DataFrame:
-    """One row a document: doc_id, source, size, key, source_size, target, taken. weight: a quality above 0, of the text unless given."""
+    """One row a document: doc_id, source, size, key, draw, source_size, target, taken. weight: a quality above 0, of the text unless given."""
     docs = pick(docs, "doc_id", "source", "text") if weight is None else docs
     key = exponential_key(quality(F.col("text")) if weight is None else weight)
-    sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key")).withColumn("bucket", F.floor(F.log2("key") * per_octave).cast("int")), "sized")
+    sized = settle(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key"), draw().alias("draw")).withColumn("bucket", F.floor(F.log2("key") * per_octave).cast("int")), "sized")
     parts = settle(sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "buckets")
     goal = targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), share=share, epochs=epochs)
     goal = goal.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long"))
@@ -77,7 +81,7 @@ def mix(docs: DataFrame, *, weight: Column | None = None, share: float = 1.5, ep
     upto = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = joined.where(ends).withColumn("room", F.col("room") - F.coalesce(F.sum("size").over(upto), F.lit(0))).withColumn("part", F.greatest(F.lit(0), F.least("room", "size")))
     whole = joined.where(~ends).withColumn("part", F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0)))
-    columns = ["doc_id", "source", "size", "key", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).cast("long").alias("taken")]
+    columns = ["doc_id", "source", "size", "key", "draw", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).cast("long").alias("taken")]
     return whole.select(*columns).unionAll(edge.select(*columns))
 
 
@@ -103,13 +107,14 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + great
 def mixed(docs: DataFrame) -> DataFrame:
     """docs (the columns of documents), each as often as the mix takes it: once a complete epoch, and its sampled words. What isn't taken goes; n_chars follows a text that is cut."""
     docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    plan = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("key").alias("k")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    keyed = docs.withColumn("key", exponential_key(quality(F.col("text"))))
-    both = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["id"]) & keyed["source"].eqNullSafe(plan["s"]) & (F.col("key") == F.col("k")))
-    # repeated rows share what they take
-    place = F.row_number().over(Window.partitionBy("id", "s", "k").orderBy("lang", "n_chars"))
-    shared = both.where("rows > 1").withColumn("taken", F.floor(F.col("taken") / F.col("rows")) + (place <= F.col("taken") % F.col("rows")).cast("long"))
-    taken = both.where("rows = 1").unionAll(shared).where("taken > 0")
+    plan = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("draw").alias("k")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    plan = settle(plan, "plan")
+    keyed = docs.withColumn("draw", draw())
+    taken = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["id"]) & keyed["source"].eqNullSafe(plan["s"]) & (F.col("draw") == F.col("k")))
+    if not plan.where("rows > 1").isEmpty():  # repeated rows share what they take
+        place = F.row_number().over(Window.partitionBy("id", "s", "k").orderBy("lang", "n_chars"))
+        shared = taken.where("rows > 1").withColumn("taken", F.floor(F.col("taken") / F.col("rows")) + (place <= F.col("taken") % F.col("rows")).cast("long"))
+        taken = taken.where("rows = 1").unionAll(shared).where("taken > 0")
     copies = taken.withColumn("words", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))))
     # the words that the target still lacks, as they stand
     begun = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
