@@ -47,7 +47,8 @@ FOLDING = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+\z", ""
 def plain_text(html: Column) -> Column:
     for pattern, to in CLEANING:
         html = F.regexp_replace(html, pattern, to)
-    html = F.when(F.contains(html, F.lit("&#")), _numbers_read(html)).otherwise(html)
+    # an array of one: so the cleaning is done once
+    html = F.transform(F.array(html), lambda h: F.when(F.contains(h, F.lit("&#")), _numbers_read(h)).otherwise(h))[0]
     for entity, to in ENTITIES:
         html = F.replace(html, F.lit(entity), F.lit(to))
     for pattern, to in FOLDING:
