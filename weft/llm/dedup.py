@@ -299,6 +299,23 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
 
 
+#: All pairs of texts with a run in common, compared exactly, and what they reach.
+ORACLE_SQL = rf"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, md5(coalesce(text, '')) AS key, [w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]+') IF w <> ''] AS words FROM documents),
+texts AS MATERIALIZED (SELECT key, any_value(words) AS words FROM docs GROUP BY key),
+placed AS (SELECT key, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts),
+followed AS (SELECT key, i, word, {", ".join(f"lead(word, {i}) OVER following AS w{i}" for i in range(1, SHINGLE))} FROM placed WINDOW following AS (PARTITION BY key ORDER BY i)),
+runs AS MATERIALIZED (SELECT key, concat_ws(' ', word, {", ".join(f"w{i}" for i in range(1, SHINGLE))}) AS run, count(*) AS n FROM followed WHERE w{SHINGLE - 1} IS NOT NULL OR i = 1 GROUP BY ALL),
+sizes AS (SELECT key, sum(n) AS weight, count(*) AS plain FROM runs GROUP BY key),
+met AS (SELECT x.key AS a, y.key AS b, sum(least(x.n, y.n)) AS weight, count(*) AS plain FROM runs x JOIN runs y ON x.run = y.run AND x.key < y.key GROUP BY ALL),
+near AS MATERIALIZED (SELECT a, b FROM met JOIN sizes x ON x.key = a JOIN sizes y ON y.key = b WHERE met.weight / (x.weight + y.weight - met.weight) >= {SIMILARITY} OR met.plain / (x.plain + y.plain - met.plain) >= {SIMILARITY}),
+links AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT key, key AS other FROM texts UNION SELECT r.key, l.b FROM reach r JOIN links l ON l.a = r.other),
+roots AS (SELECT key, min(other) AS root FROM reach GROUP BY key)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, row_number() OVER (PARTITION BY root ORDER BY doc_id NULLS LAST, key) = 1 AS is_first FROM docs JOIN roots USING (key)
+"""
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class, the least doc_id; of rows with that doc_id and text one. The columns of documents."""
     docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")

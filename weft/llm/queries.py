@@ -19,4 +19,4 @@ QUERIES = {
         dedup.op10_dart_minhash,
     )
 }
-ORACLE_SQL = {"op2_warc_derivatives": warc.ORACLE_SQL, "op8_efraimidis_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op1_secret_ownership": secrets.ORACLE_SQL, "op2_warc_derivatives": warc.ORACLE_SQL, "op8_efraimidis_mixing": mixing.ORACLE_SQL, "op10_dart_minhash": dedup.ORACLE_SQL}

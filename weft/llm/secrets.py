@@ -142,6 +142,41 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _oracle(max_owners: int = 2, least_entropy: float = 2.5) -> str:
+    """The same in SQL. A match's start is the length of the pieces and matches before it; jwt takes a character before it, and a key is cut out between headers."""
+    header = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    patterns = {"assign": (ASSIGN.pattern, 2)} | {k: (x.pattern, x.groups) for k, x in WHOLE.items() if k != "private_key"}
+    patterns["jwt"] = (patterns["jwt"][0].replace("(?<![A-Za-z0-9_-])", "(?:^|[^A-Za-z0-9_-])(") + ")", 1)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = lambda x: f"SELECT id, text, unnest(regexp_extract_all(text, {quoted(x)}, 0)) AS m, unnest(regexp_split_to_array(text, {quoted(x)})) AS piece, generate_subscripts(regexp_split_to_array(text, {quoted(x)}), 1) AS i FROM docs"
+    placed = lambda x: f"SELECT id, text, m, sum(length(piece) + length(m)) OVER (PARTITION BY id ORDER BY i) - length(m) AS s FROM ({found(x)}) WHERE m IS NOT NULL"
+    parts = []
+    for k, (x, group) in patterns.items():
+        value = f"regexp_extract(m, {quoted(x)}, {group})"
+        parts.append(f"SELECT id, {KINDS.index(k)} AS rank, '{k}' AS kind, s{' + length(m) - length(v)' if k == 'jwt' else ''} AS s, s + length(m) AS e, v FROM (SELECT id, m, s, {value} AS v FROM ({placed(x)}))" + " WHERE length(v) >= 6" * (k == "assign"))
+    runs = "|".join(re.escape(c) + "{8}" for c in "abcdefghijklmnopqrstuvwxyz0123456789+/_.=~-")
+    words = PLACEHOLDER.pattern.removeprefix("(?i)").removesuffix("|(.)\\1{7}")
+    return rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
+keys AS (SELECT id, s, substring(text, (s + 1)::BIGINT, (coalesce(lead(s) OVER (PARTITION BY id ORDER BY s), length(text)) - s)::BIGINT) AS block FROM ({placed(header)})),
+whole AS (SELECT id, s, regexp_extract(block, '^[\s\S]*?(?:-----END [A-Z ]{{0,40}}PRIVATE KEY-----|\z)') AS m FROM keys),
+spans AS MATERIALIZED ({" UNION ALL ".join(parts)}
+  UNION ALL SELECT id, {KINDS.index("private_key")}, 'private_key', s, s + length(m), regexp_replace(regexp_replace(regexp_replace(m, '^{header}', ''), '-----END [A-Z ]{{0,40}}PRIVATE KEY-----$', ''), '(?:[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]|\\[nrt])+', '', 'g') FROM whole),
+held AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS owners FROM spans JOIN docs USING (id) GROUP BY v),
+letters AS (SELECT v, c, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS c FROM held WHERE v <> '') GROUP BY v, c),
+entropies AS (SELECT v, -sum(n / t * log2(n / t)) AS bits FROM (SELECT v, n, sum(n) OVER (PARTITION BY v) AS t FROM letters) GROUP BY v),
+judged AS (SELECT id, rank, kind, s, e, owners, owners <= {max_owners} AND coalesce(bits, 0) >= {least_entropy}
+  AND NOT (CASE WHEN kind = 'private_key' THEN regexp_matches(v, '{KEY_PLACEHOLDER.pattern}') ELSE regexp_matches(v, '(?i){words}|{runs}') END) AS live FROM spans JOIN held USING (v) LEFT JOIN entropies USING (v)),
+named AS (SELECT *, concat_ws(':', kind, s::BIGINT, e::BIGINT) AS span, rank < {len(BASE_KINDS)} AS base FROM judged),
+sums AS (SELECT id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)}, string_agg(span, ',' ORDER BY s, rank) FILTER (base) AS base_spans,
+  string_agg(span, ',' ORDER BY s, rank) FILTER (base OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_shared, max(owners) AS most_owners FROM named GROUP BY id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(most_owners, 0) AS most_owners FROM docs LEFT JOIN sums USING (id)
+"""
+
+
+ORACLE_SQL = _oracle()
+
+
 def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
