@@ -758,7 +758,17 @@ def wilcoxon(s, d):
     return statistics.wilcoxon(s.createDataFrame(WILCOXON, "dataset string, fold int, a double, b double"))
 
 
-@query()
+@query(
+    """SELECT graph_id, 0 AS dim, NULL::DOUBLE AS birth, round(tau, 6) AS death FROM (SELECT graph_id, tau, unnest(range(0, ends)) FROM ended)
+    UNION ALL SELECT graph_id, 1, round(tau, 6), NULL FROM (SELECT graph_id, tau, unnest(range(0, own - ends)) FROM ended)""",
+    EVENT_CTE.replace("\nkinds AS", "RECURSIVE\nkinds AS", 1)
+    + """, levels AS (SELECT graph_id, value tau, count(*) own FROM dv GROUP BY 1, 2),
+sub AS MATERIALIZED (SELECT graph_id, tau, u, v FROM levels JOIN dv USING (graph_id) WHERE value <= tau),
+two AS MATERIALIZED (SELECT graph_id, tau, u a, v b FROM sub UNION ALL SELECT graph_id, tau, v, u FROM sub),
+reach AS (SELECT graph_id, tau, a, b FROM two UNION SELECT r.graph_id, r.tau, r.a, t.b FROM reach r JOIN two t ON t.graph_id = r.graph_id AND t.tau = r.tau AND t.a = r.b),
+joined AS (SELECT graph_id, tau, count(*) FILTER (low < b) n FROM (SELECT graph_id, tau, b, min(a) low FROM reach GROUP BY ALL) GROUP BY 1, 2),
+ended AS MATERIALIZED (SELECT graph_id, tau, own, n - lag(n, 1, 0) OVER (PARTITION BY graph_id ORDER BY tau) ends FROM levels JOIN joined USING (graph_id, tau))""",
+)
 def persistence_pairs(s, d):
     n, e = _collection(s, d)
     return topology.persistence_pairs(n, topology.degree_values(e))
