@@ -75,6 +75,15 @@ def test_w1_against_brute_force(n, m, seed):
     assert topology.w1(a.astype(float), b.astype(float), cost) == pytest.approx(best)
 
 
+def test_levels_that_hold_the_same_edges():
+    edges, values = np.array([[0, 1], [1, 2], [0, 2], [2, 3], [3, 4]]), np.array([1.0, 1.0, 2.0, 4.0, 4.0])
+    got = topology.phs(5, edges, values, 7, 3, 3)
+    for row, tau in zip(got, topology.levels(values, 7, 0.01), strict=True):
+        s0, s1, b0, b1 = topology.hodge(5, edges[values <= tau], 3, 3)
+        assert np.allclose(row, [*s0, *s1, b0, b1])
+    assert len({tuple(row) for row in got}) == 3
+
+
 def test_phs_shapes():
     assert topology.phs(0, edges([]), np.zeros(0), 4, 2, 2).shape == (4, 6)
     out = topology.phs(5, edges(CYCLE(5)), np.arange(5.0), 5, 2, 2)

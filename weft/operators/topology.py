@@ -272,11 +272,14 @@ def phs(n: int, edges: np.ndarray, values: np.ndarray, steps: int, k0: int, k1:
     width = 2 if betti_only else k0 + k1 + 2 * betti
     if not n or not len(edges):
         return np.zeros((steps, width))
+    made: dict = {}  # by the number of edges held, as levels that hold equally many hold the same
     rows = []
     for tau in levels(values, steps, pad):
         held = values <= tau
-        s0, s1, b0, b1 = hodge(n, edges[held], k0, k1, node_w, None if edge_w is None else edge_w[held])
-        rows.append([b0, b1] if betti_only else np.concatenate([s0, s1, [b0, b1] if betti else []]))
+        if (size := int(held.sum())) not in made:
+            s0, s1, b0, b1 = hodge(n, edges[held], k0, k1, node_w, None if edge_w is None else edge_w[held])
+            made[size] = [b0, b1] if betti_only else np.concatenate([s0, s1, [b0, b1] if betti else []])
+        rows.append(made[size])
     return np.array(rows, float)
 
 
@@ -305,9 +308,14 @@ def persistence(n: int, edges: np.ndarray, values: np.ndarray) -> list[tuple[int
 
 
 def gathered(nodes: DataFrame, edges: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """graph_id, ids, labels, us, vs, vals: a row a graph; a graph's own size bounds the row."""
-    n = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "label"))).alias("ns"))
-    e = (edges.withColumn("value", F.lit(None).cast("double")) if values is None else edges.join(values, ["graph_id", "u", "v"])).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("u", "v", "value"))).alias("es"))
+    """graph_id, ids, labels, us, vs, vals: a row a graph; a graph's own size bounds the row.
+
+    The work on a row is far more than its bytes tell, so graphs are dealt to a fixed number of tasks, which adaptive execution doesn't merge.
+    """
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = edges.withColumn("value", F.lit(None).cast("double")) if values is None else edges.join(values, ["graph_id", "u", "v"])
+    n = nodes.repartition(tasks, "graph_id").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "label"))).alias("ns"))
+    e = valued.repartition(tasks, "graph_id").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("u", "v", "value"))).alias("es"))
     joined = n.join(e, "graph_id", "left")
     return joined.select("graph_id", F.col("ns.node_id").alias("ids"), F.col("ns.label").alias("labels"), F.coalesce(F.col("es.u"), F.array().cast("array<long>")).alias("us"), F.coalesce(F.col("es.v"), F.array().cast("array<long>")).alias("vs"), F.coalesce(F.col("es.value"), F.array().cast("array<double>")).alias("vals"))
 
@@ -396,11 +404,14 @@ def trajectories(nodes: DataFrame, edges: DataFrame, steps: int = 10, k1: int =
             for r in batch.itertuples():
                 n, g = _graph(r)
                 values = ricci(n, g)
+                made: dict = {}
                 for step, tau in enumerate(levels(values, steps, 0.01) if len(g) else []):
                     held = g[values <= tau]
-                    _, s1, _, b1 = hodge(n, held, 1, len(held))
-                    positive = s1[s1 > 1e-8]
-                    rows.append((r.graph_id, step, float(tau), b1, float(positive[0]) if len(positive) else None, k1 > b1))
+                    if len(held) not in made:
+                        _, s1, _, b1 = hodge(n, held, 1, len(held))
+                        positive = s1[s1 > 1e-8]
+                        made[len(held)] = (b1, float(positive[0]) if len(positive) else None, k1 > b1)
+                    rows.append((r.graph_id, step, float(tau), *made[len(held)]))
             yield pd.DataFrame(rows, columns=["graph_id", "step", "tau", "betti1", "first_positive", "enough"])
 
     return gathered(nodes, edges).mapInPandas(run, "graph_id long, step int, tau double, betti1 long, first_positive double, enough boolean")

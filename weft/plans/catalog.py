@@ -311,7 +311,8 @@ def lappe(s, d):
 
 @query()
 def lappe_iterated(s, d):
-    return enc.iterated(_edges(s, d), fx.gnodes(s, d), 3, 6).groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("val") * F.col("val")).alias("norm"))
+    """As lappe, whatever the vectors' signs."""
+    return enc.iterated(_edges(s, d), fx.gnodes(s, d), 3).withColumn("val", 2 * F.col("val") * F.col("val") - 1)
 
 
 @query()
@@ -581,7 +582,7 @@ def phs_vectors(s, d):
 
 @query()
 def phs_trajectories(s, d):
-    return topology.trajectories(*_collection(s, d), steps=5)
+    return topology.trajectories(*_collection(s, d))
 
 
 @query("SELECT graph_id, n AS n_pairs, m AS n_edges FROM (SELECT graph_id, count(*) n, count(*) m FROM ee GROUP BY 1)", EVENT_CTE)
@@ -691,6 +692,10 @@ def cosine_design(s, d):
     return solvers.cosine_columns(_f(s, d), paths)
 
 
+#: Dimensions after the prescreen and steps of a path search.
+TOP, MOST = 60, 20
+
+
 def _graph(s: SparkSession, d: str) -> pl.Graph:
     return pl.Graph(fx.gnodes(s, d), fx.gedges(s, d))
 
@@ -704,20 +709,20 @@ def krr_accuracy(s, d):
 @query()
 def beam_paths(s, d):
     g = _graph(s, d)
-    x, start = pl.angles(g, "rwpe", top=4)
-    return solvers.path_models(x, g.nodes, g.edges, struct_start=start, most=3).drop("history")
+    x, start = pl.angles(g, "rwpe", top=TOP)
+    return solvers.path_models(x, g.nodes, g.edges, struct_start=start, most=MOST).drop("history")
 
 
 @query()
 def greedy_paths(s, d):
     g = _graph(s, d)
-    return solvers.path_models(pl.angles(g, "baseline", top=4)[0], g.nodes, g.edges, selection="greedy", most=3).drop("history")
+    return solvers.path_models(pl.angles(g, "baseline", top=TOP)[0], g.nodes, g.edges, selection="greedy", most=MOST).drop("history")
 
 
 @query()
 def phs_fold_scores(s, d):
     n, e = _collection(s, d)
-    return pl.phs_folds(n, e, fx.graph_labels(n), ("degree",), 5)
+    return pl.phs_folds(n, e, fx.graph_labels(n), ("degree", "label"))
 
 
 WILCOXON = [(f"d{k}", fold, 0.5 + ((fold * 7 + k * 3) % 10) / 20, 0.5 + ((fold * 3 + k) % 10) / 20) for k in range(3) for fold in range(10)]
@@ -783,7 +788,7 @@ def contrast_pair(s, d):
 @query()
 def wl_fold_scores(s, d):
     n, e = _collection(s, d)
-    return pl.wl_folds(n, e, fx.graph_labels(n), 1, 5)
+    return pl.wl_folds(n, e, fx.graph_labels(n))
 
 
 def _results(s: SparkSession, found: list[dict]) -> DataFrame:
@@ -802,7 +807,7 @@ def mlp(s, d):
 
 @query()
 def path_model_accuracy(s, d):
-    return _results(s, [pl.run_paths(_graph(s, d), "baseline", "greedy", top=4, most=3)])
+    return _results(s, [pl.run_paths(_graph(s, d), "baseline", "greedy", top=TOP, most=MOST)])
 
 
 @query()
