@@ -152,6 +152,31 @@ def test_gram_matrices(spark):
         assert np.allclose(k, k.T) and np.linalg.eigvalsh(k).min() > -1e-3 and (k != 0).all()
 
 
+def test_pairs_of_blocks_without_shuffled_copies(spark):
+    """Shuffled rows don't grow with the number of blocks, and sums of kernels need no join of the pairs."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(23, 4))
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "node long, x array<double>")
+    pairs = kernels.dots(rows, 7)
+    assert "Generate" not in (plan := kernels.arc_cosines(pairs, {1: 1.0, 2: 0.5})._jdf.queryExecution().toString()) and "SortMergeJoin" not in plan and "FlatMapCoGroups" not in plan
+    got = {(r["i"], r["j"]): r for r in pairs.collect()}
+    assert len(got) == 23 * 23 and all(abs(r["dot"] - x[i] @ x[j]) < 1e-9 for (i, j), r in got.items())
+    one, two, both = ({(r["i"], r["j"]): r["k"] for r in k.collect()} for k in (kernels.arc_cosine(pairs, 1), kernels.arc_cosine(pairs, 2), kernels.arc_cosines(pairs, {1: 1.0, 2: 0.5})))
+    assert all(both[p] == pytest.approx(one[p] + 0.5 * two[p]) for p in got)
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [5.0] * 9 + [1.0], [1.0, 1.0, 7.0, 7.0]])
+def test_exact_median(spark, values):
+    assert kernels.exact_median(spark.createDataFrame([(v,) for v in values], "d double"), 4, 1) == np.median(values)
+
+
+def test_exact_median_divides_cells(spark):
+    values = np.random.default_rng(5).gamma(2.0, 3.0, 5000)
+    d = spark.createDataFrame([(float(v),) for v in values], "d double")
+    assert kernels.exact_median(d, 16, 3) == np.median(values) == kernels.exact_median(d)
+    assert kernels.exact_median(d.where("d < 0")) is None
+
+
 def test_wl_ignores_node_order(spark):
     def gram(shift):
         pairs = [(g, (a * shift) % 5, (b * shift) % 5) for g in (1, 2) for a, b in (CYCLE(5) if g == 1 else [*CYCLE(5), (0, 2)])]
