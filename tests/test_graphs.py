@@ -141,6 +141,37 @@ def test_eigenpairs_and_iteration_span_the_same_space(spark):
     assert np.allclose(np.abs(np.linalg.det(want.T @ got)), 1, atol=1e-2)
 
 
+def test_eigenpairs_of_more_nodes_than_are_dense(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    nodes, e = _nodes(spark, 60), _edges(spark, [(int(rng.integers(0 if n < 40 else 40, n)), n) for n in range(1, 60) if n != 40])
+    for normalised in (False, True):
+        monkeypatch.setattr(enc, "MOST_DENSE", 60)
+        dense, values = enc.eigenpairs(e, nodes, 5, normalised=normalised)
+        monkeypatch.setattr(enc, "MOST_DENSE", 10)
+        sparse_, found = enc.eigenpairs(e, nodes, 5, normalised=normalised)
+        assert np.allclose(values, found, atol=1e-8)  # the second 0, of the other component, too
+        a, b = (np.array([r["val"] for r in x.orderBy("node", "dim").collect()]).reshape(60, 5) for x in (dense, sparse_))
+        assert np.allclose(np.abs(a[:, 1:]), np.abs(b[:, 1:]), atol=1e-6)
+    monkeypatch.setattr(enc, "MOST_ENTRIES", 20)
+    with pytest.raises(ValueError):
+        enc.eigenpairs(e, nodes, 5)
+
+
+def test_powers_by_rows_and_by_joins_agree(spark, monkeypatch):
+    nodes, p = _nodes(spark, 14), sparse.transition(_edges(spark, [*CYCLE(9), (0, 4), (9, 10), (10, 11), (11, 12), (3, 12)]))
+    read = lambda df, c: {(r["i"], r["j"]): r["v"] for r in df.toDF("i", "j", "v").collect()} if c else {(r["node"], r["dim"]): r["val"] for r in df.collect()}
+    monkeypatch.setattr(sparse, "AT_ONCE", 60)  # a few rows at a time
+    forms = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(sparse, "MOST_HELD", most)
+        forms.append([read(enc.random_walk(p, nodes, 5), 0), *(read(sparse.ppr(p, alpha, n, tolerance, floor), 1) for alpha, n, tolerance, floor in ((0.15, 30, 1e-5, 1e-4), (0.5, 30, 1e-3, 1e-4), (0.15, 4, 0.0, 0.0), (0.15, 2, 0.0, 0.0)))])
+    for rows, joins in zip(*forms, strict=True):
+        assert rows.keys() == joins.keys() and all(rows[k] == pytest.approx(joins[k], abs=1e-12) for k in rows)
+    monkeypatch.setattr(sparse, "MOST_HELD", 10**6)
+    monkeypatch.setattr(sparse, "matmul", None)  # powers are no tables
+    assert enc.random_walk(p, nodes, 5).count() == 70
+
+
 def test_gram_matrices(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(9, 3))
