@@ -225,6 +225,25 @@ def test_kernel_ridge_learns_blocks(spark):
     assert model.val_accuracy == 1.0 and selection.accuracy(model.scores(k), nodes).first()[0] == 1.0
 
 
+@pytest.mark.parametrize("selection", ["greedy", "beam"])
+def test_path_search_of_more_nodes_than_a_gram_matrix_may_have(spark, monkeypatch, selection):
+    monkeypatch.setattr(solvers, "MOST_TRAIN", 10)
+    rng = np.random.default_rng(4)
+    theta = rng.uniform(0, np.pi, (40, 3))
+    nodes = spark.createDataFrame([(100 + i, int(np.cos(t[1]) > 0), ("train", "val", "test")[i % 3]) for i, t in enumerate(theta)], "node long, y int, split string")
+    x = spark.createDataFrame([(100 + i, d, float(v)) for i, t in enumerate(theta) for d, v in enumerate(t)], "node long, dim int, val double")
+    e = _edges(spark, [(100 + i, 101 + i) for i in range(39)] + [(100, 999)])  # 999 is no node
+    models = {r["class"]: r for r in solvers.path_models(x, nodes, e, selection=selection, most=2).collect()}
+    assert models.keys() == {0, 1} and all(r["paths"] for r in models.values())
+    if selection == "greedy":
+        part = np.arange(40) % 3
+        paths, lam, history = solvers.greedy_paths(solvers._Scorer(theta, np.cos(theta[:, 1]) > 0, part == 0, part == 1), solvers.candidates(3), 2)
+        assert [tuple(p) for p in models[1]["paths"]] == paths and models[1]["lam"] == lam and models[1]["history"] == history
+    monkeypatch.setattr(solvers, "MOST_NODES", 39)
+    with pytest.raises(ValueError):
+        solvers.path_models(x, nodes, e)
+
+
 def test_candidates_and_searches():
     assert len(solvers.candidates(5, 1, 2)) == 10
     assert len(solvers.candidates(3, 2, 1)) == 3 + 3 * 2
