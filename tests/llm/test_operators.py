@@ -49,6 +49,13 @@ def test_widely_copied_values_are_not_live(spark):
     assert len(out) == 6 and "9f8e" in out[3] and out[9] == "<secret>"
 
 
+def test_only_texts_with_candidates_are_shuffled(spark):
+    rows = [(1, "token = 0f1e2d3c4b5a69788796a5b4c3d2e1f000", "en", "a", 1), (1, "plain", "en", "a", 1), (None, "token = 1a2b3c4d5e6f708192a3b4c5d6e7f80911", None, None, 1), (None, None, "en", "a", None), (2, "plain", "en", "b", 1), (2, "plain", "en", "b", 1)]
+    out = secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[-1]
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=str) == sorted([(1, "<secret>", 8), (1, "plain", 5), (None, "<secret>", 8), (None, None, None), (2, "plain", 5), (2, "plain", 5)], key=str)
+
+
 def test_private_keys_are_told_apart_by_their_bodies(spark):
     import base64
     import random

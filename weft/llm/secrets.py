@@ -192,9 +192,24 @@ def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(text=pd.Series(out, dtype=object))
 
 
+def _holding(wanted: bool):
+    """The documents that hold candidates, or those that don't."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[[bool(candidates(text or "")) == wanted for text in batch["text"]]]
+
+    return run
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) with every value that looks live replaced; all rows stay, widely copied examples too. n_chars follows the text."""
-    docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    live = ownership_scan(docs).select(F.col("doc_id").alias("id"), F.explode("spans").alias("s")).where("s.live").groupBy("id").agg(F.collect_set("s.hash").alias("hidden"))
-    both = docs.join(live, docs["doc_id"].eqNullSafe(live["id"]), "left").drop("id")
-    return map_pandas(both.drop("n_chars"), _redact, "doc_id long, text string, lang string, source string", "doc_id").withColumn("n_chars", F.length("text").cast("long"))
+    """docs (doc_id, text, lang, source, n_chars) with every value that looks live replaced; all rows stay, widely copied examples too. n_chars follows the text.
+
+    Only texts with candidates meet the live values; all others are scanned twice and never shuffled.
+    """
+    docs, schema = pick(docs, "doc_id", "text", "lang", "source", "n_chars").drop("n_chars"), "doc_id long, text string, lang string, source string"
+    some = settle(map_pandas(docs, _holding(True), schema, "doc_id"), "candidates")
+    live = ownership_scan(some).select(F.col("doc_id").alias("id"), F.explode("spans").alias("s")).where("s.live").groupBy("id").agg(F.collect_set("s.hash").alias("hidden"))
+    both = some.join(live, some["doc_id"].eqNullSafe(live["id"]), "left").drop("id")
+    out = map_pandas(both, _redact, schema, "doc_id").unionAll(map_pandas(docs, _holding(False), schema, "doc_id"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
