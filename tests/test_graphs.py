@@ -225,6 +225,21 @@ def test_kernel_ridge_learns_blocks(spark):
     assert model.val_accuracy == 1.0 and selection.accuracy(model.scores(k), nodes).first()[0] == 1.0
 
 
+def test_wl_gram_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = spark.createDataFrame([(g, i, int(rng.integers(0, 3))) for g in range(9) for i in range(1, 2 + g)] + [(20, 1, 77)], "graph_id long, node_id long, label long")
+    e = spark.createDataFrame([(g, i, i + 1) for g in range(9) for i in range(1, 1 + g)], "graph_id long, u long, v long")
+    held: dict = {}
+    for r in kernels.wl_counts(kernels.wl_rounds(n, e, 3)).collect():
+        held.setdefault(r["graph_id"], {})[r["round"], r["label"]] = r["n"]
+    want = {(i, j): k for i, a in held.items() for j, b in held.items() if (k := float(sum(x * b.get(f, 0) for f, x in a.items())))}
+    monkeypatch.setattr(kernels, "WL_ROWS", 2)
+    monkeypatch.setattr(kernels, "WL_LABELS", 3)
+    gram = kernels.wl_gram(n, e, 3)
+    assert "SortAggregate" not in (plan := gram._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan  # no sums over pairs
+    assert {(r["i"], r["j"]): r["k"] for r in gram.collect()} == want and (20, 1) not in want
+
+
 @pytest.mark.parametrize("selection", ["greedy", "beam"])
 def test_path_search_of_more_nodes_than_a_gram_matrix_may_have(spark, monkeypatch, selection):
     monkeypatch.setattr(solvers, "MOST_TRAIN", 10)
