@@ -381,3 +381,41 @@ def test_rows_that_grow_are_never_broadcast(spark):
     for df in (b2, valued, euler):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert b2.count() == 24 and {(r["n_edges"], r["n_triangles"], r["euler"]) for r in euler.where("step = 2").collect()} == {(6, 4, 2)}
+
+
+def test_ridge_by_strips(monkeypatch):
+    """Half a matrix is held, and what it solves is as of the whole one, if it isn't positive, too."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 5))
+    k = x @ x.T
+    diagonal, right = np.where(np.arange(700) % 50, 0.3, -0.2), rng.normal(size=(700, 2))
+    monkeypatch.setattr(solvers, "STRIP_ROWS", 64)
+    tracemalloc.start()
+    matrix = solvers.Factored(lambda start, end: x[start:end] @ x[:end].T, diagonal)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 0.62 * k.nbytes and most < 0.8 * k.nbytes
+    assert np.allclose(matrix.solve(right), np.linalg.solve(k + np.diag(diagonal), right))
+
+
+def test_folds_of_vectors_are_tasks_by_lambda(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(60, 3)), np.arange(60) % 2
+    x[:, 0] += y
+    vectors = spark.createDataFrame([(10 + i, [float(v) for v in row]) for i, row in enumerate(x)], "graph_id long, vector array<double>")
+    labels = spark.createDataFrame([(10 + i, int(v)) for i, v in enumerate(y)], "graph_id long, label int")
+    found = pipelines.cross_validated(vectors, labels, 5)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    parts = selection.inner_validation(selection.stratified_folds(labels, 5), 5).toPandas()
+    for r in found.collect():
+        own = parts[parts["fold"] == r["fold"]].sort_values("graph_id")["part"].to_numpy()
+        train, val, test = own == "train", own == "val", own == "test"
+        theta = np.arccos(np.tanh(np.clip((x - x[train].mean(0)) / x[train].std(0), -10, 10)))
+        unit = theta / np.linalg.norm(theta, axis=1, keepdims=True)
+        c = np.clip(unit @ unit[train].T, -1 + 1e-7, 1 - 1e-7)
+        k = (np.sin(np.arccos(c)) + (np.pi - np.arccos(c)) * c) / np.pi
+        hits = [(k @ np.linalg.solve(k[train] + lam * np.eye(train.sum()), np.stack([1 - y, y], 1)[train])).argmax(1) == y for lam in solvers.LAMBDAS]
+        best = max(range(len(hits)), key=lambda n: (hits[n][val].mean(), -n))
+        assert r["acc"] == hits[best][test].mean()
