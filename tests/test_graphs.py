@@ -419,3 +419,25 @@ def test_folds_of_vectors_are_tasks_by_lambda(spark):
         hits = [(k @ np.linalg.solve(k[train] + lam * np.eye(train.sum()), np.stack([1 - y, y], 1)[train])).argmax(1) == y for lam in solvers.LAMBDAS]
         best = max(range(len(hits)), key=lambda n: (hits[n][val].mean(), -n))
         assert r["acc"] == hits[best][test].mean()
+
+
+def test_subtree_folds_without_rows_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    n = spark.createDataFrame([(3 * g, i, int(rng.integers(0, 2 + g % 2))) for g in range(30) for i in range(1, 6)], "graph_id long, node_id long, label long")
+    e = spark.createDataFrame([(3 * g, i, i + 1) for g in range(30) for i in range(1, 5)], "graph_id long, u long, v long")
+    monkeypatch.setattr(kernels, "WL_ROWS", 7)
+    want = {(r["i"], r["j"]): r["k"] for r in kernels.wl_gram(n, e, 2).collect()}
+    ids, packed = kernels.wl_matrix(n, e, 2)
+    k, every = packed.between(np.arange(30), np.arange(30)), np.arange(30)
+    assert ids.tolist() == [3 * g for g in range(30)] and {(ids[i], ids[j]): k[i, j] for i in every for j in every if k[i, j]} == want
+    monkeypatch.setattr(kernels, "wl_gram", None)
+    labels = spark.createDataFrame([(3 * g, g % 2) for g in range(30)], "graph_id long, label int")
+    found = {r["fold"]: r["acc"] for r in pipelines.wl_folds(n, e, labels, 2, 3).collect()}
+    parts = selection.inner_validation(selection.stratified_folds(labels, 3), 3).toPandas()
+    for fold, acc in found.items():
+        own = parts[parts["fold"] == fold].sort_values("graph_id")["part"].to_numpy()
+        train, target = own == "train", np.stack([1 - every % 2, every % 2], 1)
+        hits = [(k[:, train] @ np.linalg.solve(k[np.ix_(train, train)] + lam * np.eye(train.sum()), target[train])).argmax(1) == every % 2 for lam in solvers.LAMBDAS]
+        best = max(range(len(hits)), key=lambda n: (hits[n][own == "val"].mean(), -n))
+        assert acc == pytest.approx(hits[best][own == "test"].mean())
+    assert len(found) == 3
