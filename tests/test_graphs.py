@@ -441,3 +441,33 @@ def test_subtree_folds_without_rows_of_pairs(spark, monkeypatch):
         best = max(range(len(hits)), key=lambda n: (hits[n][own == "val"].mean(), -n))
         assert acc == pytest.approx(hits[best][own == "test"].mean())
     assert len(found) == 3
+
+
+def test_diffusion_by_rows_and_by_tables(spark, monkeypatch):
+    nodes = spark.range(12).selectExpr("id AS node")
+    p = sparse.transition(_edges(spark, [*CYCLE(7), (0, 3), (7, 8), (8, 9)]))  # 10 and 11 have no edges
+    rng = np.random.default_rng(12)
+    x = spark.createDataFrame([(n, d, float(rng.normal())) for n in range(12) for d in range(3)], "node long, dim int, val double")
+    read = lambda df: {(r["node"], r["dim"]): r["val"] for r in df.collect()}
+    monkeypatch.setattr(sparse, "AT_ONCE", 100)
+    cases = [(lambda held: [0.5, 0.25, 0.125], None, sparse.diffusion(p, 3)), (lambda held: sparse.ppr_weights(held, 0.3, 30, 1e-4), 0.04, sparse.ppr(p, 0.3, 30, 1e-4, 0.04))]
+    for weights, floor, m in cases:
+        got, want = read(sparse.plus_powers(x, p, weights, floor)), read(sparse.plus_diffused(x, m))
+        assert got.keys() == want.keys() and len(got) == 36 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
+    assert sparse.plus_powers(x.where("node <> 3 OR dim <> 1"), p, cases[0][0]) is None
+    assert nodes.count() == 12
+
+
+def test_kernel_run_without_rows_of_pairs(small_graph, monkeypatch):
+    from weft.plans.pipelines import ppr_kernel
+
+    model = solvers.KernelRidge(gamma=0.5).fit(kernel := ppr_kernel(small_graph), small_graph.nodes, sparse.degrees(small_graph.edges))
+    accuracy = selection.accuracy(model.scores(kernel), small_graph.nodes.where("split = 'test'").select("node", "y")).first()["accuracy"]
+    monkeypatch.setattr(kernels, "dots", None)
+    monkeypatch.setattr(sparse, "spmm", None)
+    monkeypatch.setattr(sparse, "matmul", None)
+    g = pipelines.Graph(small_graph.nodes, small_graph.edges)
+    run = pipelines.run_kernel(g, gamma=0.5)
+    assert (run["val"], run["accuracy"]) == (model.val_accuracy, accuracy) and run["method"] == "kernel_g0.5"
+    x, start = pipelines.angles(g, "rwpe", top=3)
+    assert start == 3 and x.count() == 32 * 11
