@@ -471,3 +471,66 @@ def test_kernel_run_without_rows_of_pairs(small_graph, monkeypatch):
     assert (run["val"], run["accuracy"]) == (model.val_accuracy, accuracy) and run["method"] == "kernel_g0.5"
     x, start = pipelines.angles(g, "rwpe", top=3)
     assert start == 3 and x.count() == 32 * 11
+
+
+def test_returns_and_diffusion_without_floor(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    dense = np.where(rng.random((40, 40)) < 0.06, rng.random((40, 40)), 0.0)  # directed, with empty rows
+    dense[7, :30] = rng.random(30)
+    i, j = np.nonzero(dense)
+    m, most = sparse.Matrix(np.arange(40), i, j, dense[i, j], many=5), sparse._Lists.step
+    want = np.stack([np.diag(np.linalg.matrix_power(dense, k)) for k in range(1, 8)], 1)
+    for form in (most, lambda self, key, value, n: most(self, key, value, 10**9), lambda self, key, value, n: None):
+        monkeypatch.setattr(sparse._Lists, "step", form)
+        assert np.allclose(np.concatenate([m.returns(np.arange(s, s + 10), 7) for s in range(0, 40, 10)]), want, atol=1e-12, rtol=0)
+    monkeypatch.undo()
+    p = sparse.transition(_edges(spark, [*CYCLE(7), (0, 3), (7, 8), (8, 9)]))
+    x = spark.createDataFrame([(n, d, float(rng.normal())) for n in range(12) for d in range(5)], "node long, dim int, val double")
+    table = sparse.plus_diffused(x, sparse.diffusion(p, 3))
+    monkeypatch.setattr(sparse, "MOST_HELD", 30)  # p's entries are held, the 60 numbers of x aren't
+    got, want = ({(r["node"], r["dim"]): r["val"] for r in df.collect()} for df in (sparse.plus_powers(x, p, lambda held: [0.5, 0.25, 0.125]), table))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
+
+
+def test_candidates_of_a_step_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    theta, part = rng.uniform(0, np.pi, (90, 4)), np.arange(90) % 3
+    y, pool = (np.cos(theta[:, 1]) + np.cos(theta[:, 3]) > 0).astype(float), solvers.candidates(4, 2, 1)
+    scorer = solvers._Scorer(theta, y, part == 0, part == 1)
+    for paths in ([], [pool[1], pool[5]]):
+        got = scorer.gains(paths, pool, (1e-2, 1.0))
+        for at, m in enumerate(pool):
+            x = np.column_stack([np.ones(90), *[np.cos(theta @ np.array(q)) for q in [*paths, m]]])
+            plain = []
+            for lam in (1e-2, 1.0):
+                guess = x[part == 1] @ np.linalg.solve(x[part == 0].T @ x[part == 0] + lam * np.eye(x.shape[1]), x[part == 0].T @ y[part == 0])
+                hit, truth = guess > np.median(guess), y[part == 1]
+                plain.append((hit[truth == 1].mean() + (~hit[truth == 0]).mean()) / 2)
+            assert got[0][at] == pytest.approx(max(plain)) and got[1][at] == (1e-2, 1.0)[int(np.argmax(plain))]
+    whole = solvers.greedy_paths(scorer, pool, 4)
+    monkeypatch.setattr(solvers, "WAVES_HELD", 100)
+    monkeypatch.setattr(solvers, "WAVES_AT_ONCE", 130)
+    assert solvers.greedy_paths(solvers._Scorer(theta, y, part == 0, part == 1), pool, 4) == whole
+    monkeypatch.undo()
+    made, wave = [], solvers._Scorer.wave
+    monkeypatch.setattr(solvers._Scorer, "wave", lambda self, m: made.append(m) or wave(self, m))
+    edges = np.array([(i, i + 1) for i in range(89)])
+    solvers.beam_paths(solvers._Scorer(theta, y, part == 0, part == 1), solvers.GraphTerms(edges, y, part == 0), pool, 2, most=5)
+    assert len(made) <= 2 * len(pool)  # not once for each beam and step
+
+
+def test_nearest_in_blocks_takes_ties_by_id():
+    import pandas as pd
+
+    from weft.operators import neighbours
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(0, 3, (30, 2)) / 2, [[1.0, 1.0 + 1e-8], [np.nan, 0.0]]])
+    ids = rng.permutation(32)
+    left, right = pd.DataFrame({"node": ids, "x": list(x)}), pd.DataFrame({"other": ids, "y": list(x)})
+    for k in (1, 4, 40):
+        got = neighbours._block(k)(left, right)
+        for at, node in enumerate(ids):
+            score = np.round(x @ x[at], 6)
+            want = sorted((-s, o) for s, o in zip(score, ids, strict=True) if o != node and np.isfinite(s))[:k]
+            assert [(-r.score, r.neighbour) for r in got[got["node"] == node].itertuples()] == want
