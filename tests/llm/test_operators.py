@@ -1,5 +1,7 @@
 """Every query on tables of special cases, against plain versions."""
 
+import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -193,6 +195,47 @@ def test_added_tokens_are_looked_up():
     assert 49407 in np.frombuffer(encoder.ids("hello <|endoftext|> world"), "<u4")
 
 
+def test_words_go_to_the_tokenizer_together():
+    """op3: a call for each unseen word took most of its time."""
+    import public_tokenizers
+
+    encoder, text, calls = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), brute.prose(12, 3000) + " é1, ü'S.", []
+    sys.setprofile(lambda _, event, f: calls.append(f.__name__) if event == "c_call" and (getattr(f, "__name__", "").startswith(("tokenize", "encode_batch"))) else None)
+    try:
+        encoder.ids(text)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) == 1
+
+
+def test_ids_are_those_of_the_tokenizer(monkeypatch):
+    """Also where texts are cut, signs touch letters, and known words are dropped."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    monkeypatch.setattr(packing, "GROUP", 50)
+    monkeypatch.setattr(packing, "CACHE", 20)
+    assert encoder.by_word
+    rng = random.Random(5)
+    signs = ["a", "Bc", "'", "s", "T", "re", "'ll", " ", "\n", "\t\r", ",", "!?", "</w>", "<w", ">", "7", "²", "É", "ß", "ü", "×", "¡", "\xad", "word", "İ", "日", "\xa0", "<|endoftext|>"]
+    texts = ["".join(rng.choices(signs[: rng.choice((23, 23, len(signs)))], k=rng.randrange(60))) for _ in range(400)]
+    texts += ["", " ", "\n\n", "x" * 300, "no.space," * 40, ", a" * 60, "a ", brute.prose(13, 200), *(f"a{chr(c)}b {chr(c)}" for c in range(0x21, 0x100))]
+    for text, ids in zip(texts, encoder.each(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text
+    assert "".join(packing.parts("ab cd  e\nf", 3)) == "ab cd  e\nf" and list(packing.parts("abc de", 1)) == ["abc", " de"]
+
+
+def test_ends_of_words_are_known():
+    chars = ["a", "<", "/", "w", ">"]
+    model = {"end_of_word_suffix": "</w>", "continuing_subword_prefix": None, "ignore_merges": False, "vocab": {c + e: 0 for c in chars for e in ("", "</w>")}, "merges": [["a", "a</w>"], ["<", "/"]]}
+    known = packing.Encoder._ends_are_known
+    assert known(model, chars)
+    assert not known(model | {"merges": ["</w >"]}, chars)  # spells the suffix within a word
+    assert not known(model | {"end_of_word_suffix": None}, chars) and not known(model | {"ignore_merges": True}, chars) and not known(model, [*chars, "b"])
+
+
 def test_pieces():
     for n in (1, 2, 2047, 2048, 2049, 5000):
         out = packing.pieces(n)
