@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from weft.operators import encodings as enc
 from weft.operators import kernels, selection, solvers, sparse, spreading, statistics, topology
-from weft.plans import pipelines
+from weft.plans import catalog, pipelines
 from weft.sources import results, tu
 
 CYCLE = lambda n: [(i, i + 1) for i in range(n - 1)] + [(0, n - 1)]
@@ -534,3 +534,21 @@ def test_nearest_in_blocks_takes_ties_by_id():
             score = np.round(x @ x[at], 6)
             want = sorted((-s, o) for s, o in zip(score, ids, strict=True) if o != node and np.isfinite(s))[:k]
             assert [(-r.score, r.neighbour) for r in got[got["node"] == node].itertuples()] == want
+
+
+@pytest.mark.parametrize(("query", "degrees"), [("arccos_kernel_deg0", {0: 1.0})])
+def test_kernels_leave_their_tasks_rounded(spark, monkeypatch, query, degrees):
+    """Dot products and norms are no rows, and neither angles nor decimals are worked a row a pair."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(17, 3))
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "node long, x array<double>")
+    want = {(r["i"], r["j"]): r["k"] for r in kernels.arc_cosines(kernels.dots(rows), degrees).collect()}
+    monkeypatch.setattr(kernels, "dots", None)
+    monkeypatch.setattr(kernels, "AT_ONCE", 13)
+    monkeypatch.setattr(catalog.fx, "gnodes", lambda s, d: rows)
+    found = catalog.QUERIES[query](spark, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "acos" not in plan and "round" not in plan
+    digits = 5 if 0 in degrees else 6
+    got = {(r["i"], r["j"]): r["k"] for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) == 17 * 17 and all(abs(got[p] - want[p]) < 0.51 * 10.0**-digits and got[p] == round(got[p], digits) for p in got)
