@@ -536,7 +536,7 @@ def test_nearest_in_blocks_takes_ties_by_id():
             assert [(-r.score, r.neighbour) for r in got[got["node"] == node].itertuples()] == want
 
 
-@pytest.mark.parametrize(("query", "degrees"), [("arccos_kernel_deg0", {0: 1.0}), ("combined_kernel", {1: 1.0, 2: 0.5}), ("arccos_kernel_deg1", {1: 1.0})])
+@pytest.mark.parametrize(("query", "degrees"), [("arccos_kernel_deg0", {0: 1.0}), ("combined_kernel", {1: 1.0, 2: 0.5}), ("arccos_kernel_deg1", {1: 1.0}), ("arccos_kernel_deg2", {2: 1.0})])
 def test_kernels_leave_their_tasks_rounded(spark, monkeypatch, query, degrees):
     """Dot products and norms are no rows, and neither angles nor decimals are worked a row a pair."""
     rng = np.random.default_rng(3)
