@@ -552,3 +552,22 @@ def test_kernels_leave_their_tasks_rounded(spark, monkeypatch, query, degrees):
     digits = 5 if 0 in degrees else 6
     got = {(r["i"], r["j"]): r["k"] for r in found.collect()}
     assert got.keys() == want.keys() and len(got) == 17 * 17 and all(abs(got[p] - want[p]) < 0.51 * 10.0**-digits and got[p] == round(got[p], digits) for p in got)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 41])
+def test_median_distance_without_rows_of_pairs(spark, monkeypatch, n):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, 3))
+    x[n // 2 + 1 :] = x[: n - n // 2 - 1]  # copies, whose distance doesn't count
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "node long, x array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    d[d < 1e-9] = 0.0
+    middle = np.median(d[d > 0]) if (d > 0).any() else None
+    packed = kernels.pack(rows, 3)
+    for few, first, bits in ((100_000, 44, 16), (2, 58, 3), (0, 50, 10)):
+        found = kernels.middle_distance(packed, 3, few, first, bits)
+        assert found == (middle if middle is None else pytest.approx(middle, rel=1e-9))
+    monkeypatch.setattr(kernels, "dots", None)
+    monkeypatch.setattr(catalog.fx, "gnodes", lambda s, d: rows)
+    found = {(r["i"], r["j"]): r["k"] for r in catalog.rbf_kernel_median(spark, "").collect()}
+    assert len(found) == n * n and all(k == pytest.approx(np.exp(-d[p] / 2 / (middle or 1.0)), abs=6e-7) for p, k in found.items())
