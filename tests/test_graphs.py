@@ -1,6 +1,7 @@
 """Known values and invariants on small graphs."""
 
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -571,3 +572,41 @@ def test_median_distance_without_rows_of_pairs(spark, monkeypatch, n):
     monkeypatch.setattr(catalog.fx, "gnodes", lambda s, d: rows)
     found = {(r["i"], r["j"]): r["k"] for r in catalog.rbf_kernel_median(spark, "").collect()}
     assert len(found) == n * n and all(k == pytest.approx(np.exp(-d[p] / 2 / (middle or 1.0)), abs=6e-7) for p, k in found.items())
+
+
+def test_factored_in_files(monkeypatch):
+    monkeypatch.setattr(solvers, "MOST_TRAIN", 50)
+    monkeypatch.setattr(solvers, "STRIP_ROWS", 16)
+    rng = np.random.default_rng(14)
+    x, right = rng.normal(size=(70, 5)), rng.normal(size=(70, 2))
+    matrix = solvers.Factored(lambda start, end: x[start:end] @ x[:end].T, np.full(70, 0.3))
+    folder = Path(matrix.low.folder.name)
+    assert len(list(folder.iterdir())) == 5 and np.allclose(matrix.solve(right), np.linalg.solve(x @ x.T + 0.3 * np.eye(70), right))
+    del matrix
+    assert not folder.exists()
+
+
+def test_equal_rows_are_solved_as_one(spark):
+    rng = np.random.default_rng(15)
+    x, same, y = rng.normal(size=(12, 3)), rng.integers(0, 12, 40), rng.integers(0, 3, 40)
+    parts, weights = rng.integers(1, 4, (2, 40)), rng.uniform(0.5, 2.0, 40)
+    got, want = ({(r["fold"], r["n"]): (r["val"], r["test"], np.frombuffer(r["scores"])) for r in solvers.ridge_runs(spark, solvers.ScaledArcCosine(rows), y, parts, (1e-3, 1.0), weights, True, s).collect()} for rows, s in ((x, same), (x[same], None)))
+    assert got.keys() == want.keys() and len(got) == 4
+    for k in got:
+        assert got[k][:2] == want[k][:2] and np.allclose(got[k][2], want[k][2], atol=1e-6)
+
+
+def test_folds_of_more_graphs_than_a_gram_matrix_may_have(spark, monkeypatch):
+    """These raised; graphs that are alike are worked once."""
+    rng = np.random.default_rng(16)
+    kinds = [[int(rng.integers(0, 2 + g % 2)) for _ in range(5)] for g in range(8)]
+    n = spark.createDataFrame([(3 * g, i, kinds[g % 8][i - 1]) for g in range(40) for i in range(1, 6)], "graph_id long, node_id long, label long")
+    e = spark.createDataFrame([(3 * g, i, j) for g in range(40) for i in range(1, 5) for j in ((i + 1,) if i > 1 + g % 2 else (i + 1, i + 2)) if j < 6], "graph_id long, u long, v long")
+    labels = spark.createDataFrame([(3 * g, g % 2) for g in range(40)], "graph_id long, label int")
+    monkeypatch.setattr(solvers, "MOST_TRAIN", 10)
+    alike = {r["graph_id"]: r["own"] for r in topology.alike(n, e).collect()}
+    shapes = {g: (tuple(kinds[g % 8]), g % 2) for g in range(40)}
+    assert alike == {3 * g: 3 * min(h for h in range(40) if shapes[h] == shapes[g]) for g in range(40)}
+    read = lambda df: {r["fold"]: r["acc"] for r in df.collect()}
+    vectors = topology.phs_vectors(n, e, modes=("degree", "label"), steps=3, k0=2, k1=2)
+    assert read(pipelines.phs_folds(n, e, labels, ("degree", "label"), 3, 2, 4)) == read(pipelines.cross_validated(vectors, labels, 4))
