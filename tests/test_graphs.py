@@ -610,3 +610,6 @@ def test_folds_of_more_graphs_than_a_gram_matrix_may_have(spark, monkeypatch):
     read = lambda df: {r["fold"]: r["acc"] for r in df.collect()}
     vectors = topology.phs_vectors(n, e, modes=("degree", "label"), steps=3, k0=2, k1=2)
     assert read(pipelines.phs_folds(n, e, labels, ("degree", "label"), 3, 2, 4)) == read(pipelines.cross_validated(vectors, labels, 4))
+    ids, gram = kernels.wl_matrix(n, e, 2)
+    y, parts = pipelines._folds(labels, ids, 4)
+    assert read(pipelines.wl_folds(n, e, labels, 2, 4)) == read(pipelines._fold_scores(solvers.ridge_runs(spark, gram, y, parts), "events", "wl"))
