@@ -1,5 +1,6 @@
 """Known values and invariants on small graphs."""
 
+import tracemalloc
 from itertools import combinations
 from pathlib import Path
 
@@ -613,3 +614,26 @@ def test_folds_of_more_graphs_than_a_gram_matrix_may_have(spark, monkeypatch):
     ids, gram = kernels.wl_matrix(n, e, 2)
     y, parts = pipelines._folds(labels, ids, 4)
     assert read(pipelines.wl_folds(n, e, labels, 2, 4)) == read(pipelines._fold_scores(solvers.ridge_runs(spark, gram, y, parts), "events", "wl"))
+
+
+def test_powers_hold_few_arrays(monkeypatch):
+    monkeypatch.setattr(sparse, "IN_CACHE", 900)
+    rng = np.random.default_rng(17)
+    n, rows = 3000, np.arange(40)
+    i, j = rng.integers(0, n, (2, 9 * n))
+    j[:500] = 7  # a wide column
+    i, j = np.divmod(np.unique((i * n + j)[j != 5]), n)  # and an empty one
+    v = 1.0 / np.bincount(i, minlength=n)[i]
+    m = sparse.Matrix(np.arange(n), i, j, v)
+    tracemalloc.start()
+    found = sparse._sums(m, rows, [0.5, 0.3, 0.2])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4.6 * found.nbytes
+    dense = np.zeros((n, n))
+    dense[i, j] = v
+    one = dense[rows]
+    two = one @ dense
+    want = 0.5 * one + 0.3 * two + 0.2 * two @ dense
+    want[rows, rows] = 0.0
+    assert np.allclose(found.T, want, atol=1e-14)
