@@ -651,3 +651,9 @@ def test_eigenpairs_take_few_products(monkeypatch):
     values, vectors = enc.least_eigenpairs(n, np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([v, v]) / 2, 4)
     assert np.allclose(values, 2 - 2 * np.cos(np.pi * np.arange(4) / n), atol=1e-9) and np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-8)
     assert set(calls) == {(3 * n - 2, 16)} and len(calls) < 4000
+
+
+def test_kernel_run_of_more_nodes_than_a_gram_matrix_may_have(small_graph, monkeypatch):
+    monkeypatch.setattr(solvers, "MOST_TRAIN", 3)  # raised before
+    run = pipelines.run_kernel(small_graph)
+    assert 0 <= run["val"] <= 1 and 0 <= run["accuracy"] <= 1
